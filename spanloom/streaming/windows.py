@@ -20,14 +20,14 @@ def read_span_stream(spark: SparkSession, path: str, schema: str, files_per_trig
 def resume_windows(spans: DataFrame, by: str, model: Billing = Billing(), late: str = "10 minutes", time: str = "ts", seconds: str = "exec_s") -> DataFrame:
     """Resume windows per ``by``: ``by, start, end, spans, productive_s, billed_s``; a span's own duration extends the gap."""
     gap = F.concat((F.col(seconds) * 1000 + model.suspend_s * 1000).cast("long").cast("string"), F.lit(" milliseconds"))
-    s = spans.withWatermark(time, late).groupBy(F.session_window(F.col(time), gap).alias("w"), by).agg(F.count(F.lit(1)).alias("spans"), F.sum(seconds).alias("productive_s"))
-    length = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1e6
-    return s.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "spans", "productive_s", F.greatest(F.lit(model.minimum_s), length).alias("billed_s"))
+    s = spans.withWatermark(time, late).groupBy(F.session_window(F.col(time), gap).alias("_window"), by).agg(F.count(F.lit(1)).alias("spans"), F.sum(seconds).alias("productive_s"))
+    length = (F.unix_micros(F.col("_window.end").cast("timestamp")) - F.unix_micros(F.col("_window.start").cast("timestamp"))) / 1e6
+    return s.select(by, F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), "spans", "productive_s", F.greatest(F.lit(model.minimum_s), length).alias("billed_s"))
 
 
 def redundancy_by_hour(spans: DataFrame, fingerprint: str = "exact", late: str = "10 minutes", time: str = "ts") -> DataFrame:
     """Statements and approximate distinct statements per hour; state is a sketch an hour, not the statements."""
-    return spans.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("queries"), F.approx_count_distinct(fingerprint, 0.02).alias("distinct_queries")).select(F.col("w.start").alias("hour"), "queries", "distinct_queries")
+    return spans.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("_window")).agg(F.count(F.lit(1)).alias("queries"), F.approx_count_distinct(fingerprint, 0.02).alias("distinct_queries")).select(F.col("_window.start").alias("hour"), "queries", "distinct_queries")
 
 
 def credits_as_they_come(spans: DataFrame, credits: DataFrame, within: str = "3 hours") -> DataFrame:
