@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import context, fingerprint
 from spanloom.functions import text as T
 from spanloom.operators import billing, fleet, grounding, lineage, measured
-from spanloom.plans import rollup
+from spanloom.plans import extract, rollup
 from spanloom.plans.sqlplan import Shape, refusal
 from spanloom.queries import query
 from spanloom.session import table
@@ -448,6 +448,19 @@ def subexpr_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rollup.subexpression_ratios(rollup.subexpressions(_workload(spark)))
 
 
+@query()
+def span_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of every statement, or why it has none."""
+    return extract.shapes(table(spark, d, "spans").where("sql_text is not null"), "sql_text", "row_id")
+
+
+@query()
+def span_subexpressions(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-expression totals and distinct counts of all modelled statements, by size and kind."""
+    s = extract.shapes(lineage.latest_spans(table(spark, d, "spans")).where("sql_text is not null"), "sql_text", "row_id").where("reason is null")
+    return rollup.subexpression_ratios(rollup.subexpressions(s))
+
+
 @query("""
 select * from (values ('select count(*) from orders', true), ('drop table orders', false), ('select 1; delete from orders', false), ('', false), ('with a as (select 1 as x) select x from a', true), ('insert into orders select * from orders', false)) t(sql, allowed)""")
 def read_only_guard(spark: SparkSession, d: str) -> DataFrame:
