@@ -28,6 +28,13 @@ def anchors(spark: SparkSession, shapes: list[tuple[int, Shape]]) -> DataFrame:
     return spark.createDataFrame([(n, s.sql(), syn, got) for n, (s, syn, got) in enumerate(chosen, 1)], "anchor_no int, sql string, synthetic boolean, covers array<long>")
 
 
+def cover_summary(spark: SparkSession, shapes: list[tuple[int, Shape]], statements: int) -> DataFrame:
+    """One row: modelled, excluded, anchors, covered and the share of distinct sub-plans (1 when nothing is covered)."""
+    chosen = rollup.cover(rollup.frame(spark, shapes)) if shapes else []
+    covered = sum(len(c) for _, _, c in chosen)
+    return spark.createDataFrame([(len(shapes), statements - len(shapes), len(chosen), covered, len(chosen) / covered if covered else 1.0)], "modelled long, excluded long, anchors long, covered long, distinct_subplans double")
+
+
 def trace_report(spark: SparkSession, spans: DataFrame, events: DataFrame, by: str = "trace_key") -> dict[str, DataFrame]:
     """Tree, redundancy, waste and bill of every trace."""
     joined = lineage.span_events(spans, events)
