@@ -45,7 +45,12 @@ CLAUSES = ("select", "from", "where", "group", "having", "window", "order", "lim
 def tokens(sql: str) -> list[str]:
     """Lower-case tokens without white space, comments and identifier quotes; literals keep their quotes."""
     out = []
-    for m in TOKEN.finditer(sql.translate(PLAIN)):
+    sql = sql.translate(PLAIN)
+    closed = sql.rfind("*/") + 2
+    if sql.find("/*", closed if closed > 1 else 0) >= 0:  # an opened comment that never ends is no comment
+        at = closed if closed > 1 else 0
+        sql = sql[:at] + sql[at:].replace("/*", "/ *")
+    for m in TOKEN.finditer(sql):
         kind, t = m.lastgroup, m.group()
         if kind == "space":
             continue

@@ -58,3 +58,9 @@ def test_empty_blank_and_long(spark):
     df = spark.createDataFrame([(1, ""), (2, "  "), (3, None), (4, "select " + "a, " * 5000 + "b"), (5, "SELECT b" + " , a" * 5000)], "row_id long, sql_text string")
     assert {(r["first_row_id"], r["row_id"]) for r in C.runs(df).collect()} == {(1, 1), (1, 2), (4, 4), (4, 5)}
     assert C.runs(df.limit(0)).count() == 0
+
+
+def test_opened_comments_and_quotes_end_in_time():
+    assert C.canonical("select a /* b") == C.canonical("select a / * b")
+    assert C.canonical("/* " * 50_000).count("*") == 50_000
+    assert C.canonical("select '" + "x" * 100_000)
