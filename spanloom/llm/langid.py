@@ -66,37 +66,59 @@ _LOG = re.compile(r"^\W*(?:(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*)|(?:LOG|ERROR
 _PAIR = re.compile(r"^\W*(?:[\w.-]+=\S*\s*)+\W*$")
 _END = re.compile(r"(?<=[.!?…])[\"'»”’)*_]*\s+|(?<=[。！？])[」』”）]*\s*")
 _IDENT = re.compile(r"[A-Za-z0-9_.-]*[A-Za-z0-9][/=\\@][A-Za-z0-9_./=\\@-]*|[A-Za-z0-9_.-]*_[A-Za-z0-9_.-]*|(?<![^\W\d_])[A-Za-z0-9]*\d[A-Za-z0-9]*|https?://[!-~]+|`[^`]*`")
-_WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 
 
+_FIRST = re.compile(r"\W*(\w+)")
+_SQL_FIRST = frozenset("with select insert update delete create drop alter from where group order limit and left inner right join union".split())
+_LOG_FIRST = frozenset("log error fatal panic warning notice debug debug1 debug2 debug3 debug4 debug5 info detail hint statement context traceback file at".split())
+_ODD = re.compile(r"[0-9_=/\\@`]")
+_THREE = re.compile(r"(?:[^\W\d_]+[\W\d_]+){2}[^\W\d_]")
+_SIGNS = re.compile(r"[0-9*#|~^<>{}\[\]\"“”„«»()=+]+")
+
+
 def _is_prose(line: str) -> bool:
-    if _CITED.match(line) or _SQL.match(line) or _LOG.match(line) or _PAIR.match(line) or line.lstrip()[:1] in "{|<":
+    """Whether a line without its marks is prose; the patterns are tried only where the first word or a sign calls for it."""
+    m = _FIRST.match(line)
+    first = m[1].lower() if m else ""
+    if first == "cited" and _CITED.match(line):
+        return False
+    if first in _SQL_FIRST and _SQL.match(line):
+        return False
+    if (first in _LOG_FIRST or first[:1].isdigit()) and _LOG.match(line):
         return False
-    if line.count(",") >= 3 and len(line.split()) == 1 and line.isascii():
+    if "=" in line and _PAIR.match(line) or line.lstrip()[:1] in "{|<":
         return False
-    return True
+    return not (line.count(",") >= 3 and len(line.split()) == 1 and line.isascii())
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of prose of a text, as they are scored: composed characters, lower case, identifiers left out."""
     out: list[str] = []
     fenced = False
-    for line in re.split("[\r\n  ]+", _DROP.sub("", unicodedata.normalize("NFC", text))):
-        if _FENCE.match(line):
+    if not text.isascii():
+        text = _DROP.sub("", unicodedata.normalize("NFC", text))
+    for line in re.split("[\r\n\u2028\u2029]+", text):
+        if "```" in line and _FENCE.match(line):
             if line.count("```") % 2:
                 fenced = not fenced
             continue
-        if fenced or not line.strip() or not _is_prose(_MARK.sub("", line, count=1)):
+        if fenced or not line.strip():
             continue
-        for s in _END.split(_MARK.sub("", line, count=1)):
+        line = _MARK.sub("", line, count=1)
+        if not _is_prose(line):
+            continue
+        for s in _END.split(line):
             if not s:
                 continue
-            if _PAIR.match(s) or _CITED.match(s):
+            if _ODD.search(s):
+                if "=" in s and _PAIR.match(s):
+                    continue
+                s = " ".join([_IDENT.sub(" ", w) if _ODD.search(w) else w for w in s.split()])
+            if s[:12].lower().find("cited") >= 0 and _CITED.match(s):
                 continue
-            t = _IDENT.sub(" ", s)
-            t = " ".join(re.sub(r"[\d*#|~^<>{}\[\]\"“”„«»()=+]+", " ", t).lower().split())
-            if len(_WORD.findall(t)) >= 3 or len(_CJK.findall(t)) >= 5:
+            t = " ".join(_SIGNS.sub(" ", s).lower().split())
+            if _THREE.search(t) or (not t.isascii() and len(_CJK.findall(t)) >= 5):
                 out.append(t)
     return out
 
@@ -272,10 +294,30 @@ def fit(
 
 
 class Scorer:
-    """Scores sentences; keeps the scores of sentences it has met, up to a bound."""
+    """Scores sentences; keeps the scores of sentences it has met, up to a bound.
+
+    All filters are laid side by side in one matrix, so a batch is one product; batches are small enough for the cache.
+    """
 
-    def __init__(self, m: dict[str, np.ndarray], keep: int = 100_000) -> None:
-        self.m, self.keep, self.known = m, keep, {}
+    def __init__(self, m: dict[str, np.ndarray], keep: int = 100_000, batch: int = 32) -> None:
+        self.m, self.keep, self.batch, self.known = m, keep, batch, {}
+        self.wide = max(WIDTHS)
+        self.filters = np.zeros((self.wide * EMBED, len(WIDTHS) * FILTERS), np.float32)
+        for i, w in enumerate(WIDTHS):
+            self.filters[: w * EMBED, i * FILTERS : (i + 1) * FILTERS] = m[f"w{w}"]
+        self.shift = np.concatenate([m[f"b{w}"] for w in WIDTHS])
+
+    def windows(self, x: np.ndarray) -> np.ndarray:
+        """Log-probabilities of windows, as :func:`forward` gives them."""
+        e = self.m["embed"][np.concatenate([x, np.zeros((len(x), self.wide - 1), np.uint8)], axis=1)]
+        cols = np.empty((len(x), WINDOW, self.wide * EMBED), np.float32)
+        for o in range(self.wide):
+            cols[:, :, o * EMBED : (o + 1) * EMBED] = e[:, o : o + WINDOW]
+        z = (cols.reshape(-1, self.wide * EMBED) @ self.filters).reshape(len(x), WINDOW, -1)
+        top = np.concatenate([z[:, : WINDOW - w + 1, i * FILTERS : (i + 1) * FILTERS].max(axis=1) for i, w in enumerate(WIDTHS)], axis=1)
+        y = np.maximum(top + self.shift, 0) @ self.m["out"] + self.m["bias"]
+        y -= y.max(axis=1, keepdims=True)
+        return y - np.log(np.exp(y).sum(axis=1, keepdims=True))
 
     def scores(self, batch: list[str]) -> dict[str, np.ndarray]:
         if len(self.known) > self.keep:
@@ -284,10 +326,9 @@ class Scorer:
         ws = [windows(s) for s in new]
         if ws:
             x = np.concatenate(ws)
-            lp = np.concatenate([forward(self.m, x[i : i + 512])[0] for i in range(0, len(x), 512)])
-            at = np.cumsum([0, *(len(w) for w in ws)])
-            for i, s in enumerate(new):
-                self.known[s] = lp[at[i] : at[i + 1]].sum(axis=0)
+            lp = np.concatenate([self.windows(x[i : i + self.batch]) for i in range(0, len(x), self.batch)])
+            for s, v in zip(new, np.add.reduceat(lp, np.cumsum([0, *(len(w) for w in ws[:-1])]), axis=0)):
+                self.known[s] = v
         return {s: self.known[s] for s in set(batch)}
 
 
