@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import tasks
+from spanloom.session import cut, tasks
 
 #: A key is placed by the plan when it holds more than this part of a task's fair share.
 HEAVY = 0.25
@@ -49,7 +49,7 @@ def plan(df: DataFrame, key: str, n_tasks: int) -> tuple[DataFrame, int]:
     """The placement table ``_key, _shards, _places`` of the heavy keys (at most 4 * tasks rows), and all rows' count."""
     spark = df.sparkSession
     load = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    load = load.withColumn("_home", F.pmod(F.xxhash64("_key"), F.lit(n_tasks)).cast("int"))
+    load = cut(load.withColumn("_home", F.pmod(F.xxhash64("_key"), F.lit(n_tasks)).cast("int")), name="load")  # a row a key, read three times
     total = load.agg(F.sum("n")).first()[0] or 0
     capacity = max(1.0, total / n_tasks)
     big = load.where(F.col("n") > HEAVY * capacity)  # at most n_tasks / HEAVY keys can hold so much
@@ -75,17 +75,17 @@ def route(df: DataFrame, key: str, item: str, placement: DataFrame, n_tasks: int
 
 
 def per_key(df: DataFrame, key: str, item: str, n_tasks: int | None = None) -> DataFrame:
-    """Rows, distinct items and redundancy (1 - distinct items / rows with an item) of every key."""
+    """Rows, distinct items and redundancy (1 - distinct items / rows with an item) of every key; ``total``: rows of all keys."""
     n = n_tasks or 4 * tasks(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(item).alias("i"))
-    placement, _ = plan(rows, "k", n)
+    placement, total = plan(rows, "k", n)
     routed = route(rows, "k", "i", placement, n)
     # the routing already brought equal (task, key, item) together: no exchange before the last, small one
     items = routed.groupBy("_task", "k", "i").agg(F.count(F.lit(1)).alias("n"))
     shards = items.groupBy("_task", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("i").isNotNull(), F.col("n")).otherwise(0)).alias("with_item"), F.count("i").alias("d"))
     return shards.groupBy("k").agg(F.sum("n").alias("queries"), F.sum("with_item").alias("with_item"), F.sum("d").alias("distinct_items")).select(
         F.col("k").alias(key), "queries", "distinct_items",
-        F.when(F.col("with_item") > 0, 1 - F.col("distinct_items") / F.col("with_item")).alias("redundancy"))
+        F.when(F.col("with_item") > 0, 1 - F.col("distinct_items") / F.col("with_item")).alias("redundancy"), F.lit(total).cast("long").alias("total"))
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: str, n_tasks: int | None = None, how: str = "inner") -> DataFrame:
@@ -99,7 +99,7 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     at = F.broadcast(placement.select("_key", "_shards"))
     l = left.join(at, F.col(key) == F.col("_key"), "left").withColumn(
         "_shard", F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), F.col(spread)), F.col("_shards")), F.lit(0)).cast("int")).drop("_key", "_shards")
-    r = right.select(F.col(key).alias("_rkey"), *[F.col(c).alias(c + "_right" if c in left.columns else c) for c in right.columns if c != key])
-    r = r.join(at, F.col("_rkey") == F.col("_key"), "left").withColumn(
-        "_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).drop("_key", "_shards")
-    return l.join(r, (F.col(key) == F.col("_rkey")) & (F.col("_shard") == F.col("_rshard")), how).drop("_rkey", "_rshard", "_shard")
+    r = right.select(F.col(key).alias("__fr_rkey"), *[F.col(c).alias(c + "_right" if c in left.columns else c) for c in right.columns if c != key])
+    r = r.join(at, F.col("__fr_rkey") == F.col("_key"), "left").withColumn(
+        "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).drop("_key", "_shards")
+    return l.join(r, (F.col(key) == F.col("__fr_rkey")) & (F.col("_shard") == F.col("__fr_rshard")), how).drop("__fr_rkey", "__fr_rshard", "_shard")

@@ -62,8 +62,7 @@ def p3_entries(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Instances with at least 1 % of all rows."""
     per = skew.per_key(table(spark, d, "r"), "instance_id", "feature_fingerprint")
-    total = per.agg(F.sum("queries").alias("total"))
-    return per.join(F.broadcast(total), F.col("queries") * 100 >= F.col("total")).where("instance_id is not null").select("instance_id")  # total: one row
+    return per.where("queries * 100 >= total and instance_id is not null").select("instance_id")
 
 
 @query("""
@@ -71,7 +70,7 @@ select instance_id, count(*) as queries, count(distinct feature_fingerprint) as
        1 - count(distinct feature_fingerprint) / nullif(count(feature_fingerprint), 0)::double as redundancy
 from r group by instance_id""")
 def p5_instances(spark: SparkSession, d: str) -> DataFrame:
-    return skew.per_key(table(spark, d, "r"), "instance_id", "feature_fingerprint")
+    return skew.per_key(table(spark, d, "r"), "instance_id", "feature_fingerprint").drop("total")
 
 
 @query("""
