@@ -63,9 +63,10 @@ _MARK = re.compile(r"^\s*(?:(?:\[\d{1,2}:\d\d\]|[-*•>#–—]+|\d{1,3}[.)])\s+
 _CITED = re.compile(r"^\W*cited\W*:", re.I)
 _SQL = re.compile(r"^\W*(?:with\s+\w+\s+as\s*\(|select\b.*\bfrom\b|select\b.*[(*,]|insert\s+into\b|update\s+\w+\s+set\b|delete\s+from\b|create\s+(?:table|view|index)\b|drop\s+|alter\s+|from\s+\w+\s*(?:$|where|group|join|;)|where\s+\S+\s*(?:[<>=!]|in\b|between\b)|group\s+by\b|order\s+by\s+\S+(?:\s*,|\s*$|\s+desc|\s+asc|;)|limit\s+\d+|and\s+\S+\s*[<>=]|(?:left|inner|right)?\s*join\s+\w+\s+(?:on|\w+\s+on)\b|union\s+all\b)", re.I | re.S)
 _LOG = re.compile(r"^\W*(?:(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*)|(?:LOG|ERROR|FATAL|PANIC|WARNING|NOTICE|DEBUG\d?|INFO|DETAIL|HINT|STATEMENT|CONTEXT):\s|Traceback \(|File \"|at [\w.$]+\()")
-_PAIR = re.compile(r"^\W*(?:[\w.-]+=\S*\s*)+\W*$")
+_KEY = re.compile(r"[\w.-]+")
 _END = re.compile(r"(?<=[.!?…])[\"'»”’)*_]*\s+|(?<=[。！？])[」』”）]*\s*")
-_IDENT = re.compile(r"[A-Za-z0-9_.-]*[A-Za-z0-9][/=\\@][A-Za-z0-9_./=\\@-]*|[A-Za-z0-9_.-]*_[A-Za-z0-9_.-]*|(?<![^\W\d_])[A-Za-z0-9]*\d[A-Za-z0-9]*|https?://[!-~]+|`[^`]*`")
+_RUN = re.compile(r"[A-Za-z0-9_./=\\@-]+")
+_TICKS = re.compile(r"`[^`]*`")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 
 
@@ -73,10 +74,38 @@ _FIRST = re.compile(r"\W*(\w+)")
 _SQL_FIRST = frozenset("with select insert update delete create drop alter from where group order limit and left inner right join union".split())
 _LOG_FIRST = frozenset("log error fatal panic warning notice debug debug1 debug2 debug3 debug4 debug5 info detail hint statement context traceback file at".split())
 _ODD = re.compile(r"[0-9_=/\\@`]")
-_THREE = re.compile(r"(?:[^\W\d_]+[\W\d_]+){2}[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.compile(r"[0-9*#|~^<>{}\[\]\"“”„«»()=+]+")
 
 
+def _pairs(line: str) -> bool:
+    """Whether every word of a line is key=value."""
+    some = False
+    for t in line.split():
+        key, sign, _ = t.partition("=")
+        if not any(c.isalnum() for c in t[:400]):
+            continue
+        if not sign or not _KEY.fullmatch(key.strip("`*_-•>[]()\"'")):
+            return False
+        some = True
+    return some
+
+
+def _plain(word: str) -> str:
+    """A word without identifiers: runs of ASCII with digits, underscores or path signs."""
+    return _RUN.sub(lambda m: " " if _ODD.search(m.group()) else m.group(), word)
+
+
+def _wordy(t: str) -> bool:
+    """Whether a sentence has three words, or five characters of a script without blanks. Stops as soon as it has."""
+    n = 0
+    for _ in _WORD.finditer(t):
+        n += 1
+        if n == 3:
+            return True
+    return not t.isascii() and len(_CJK.findall(t)) >= 5
+
+
 def _is_prose(line: str) -> bool:
     """Whether a line without its marks is prose; the patterns are tried only where the first word or a sign calls for it."""
     m = _FIRST.match(line)
@@ -87,7 +116,7 @@ def _is_prose(line: str) -> bool:
         return False
     if (first in _LOG_FIRST or first[:1].isdigit()) and _LOG.match(line):
         return False
-    if "=" in line and _PAIR.match(line) or line.lstrip()[:1] in "{|<":
+    if "=" in line and _pairs(line) or line.lstrip()[:1] in "{|<":
         return False
     return not (line.count(",") >= 3 and len(line.split()) == 1 and line.isascii())
 
@@ -112,13 +141,13 @@ def sentences(text: str) -> list[str]:
             if not s:
                 continue
             if _ODD.search(s):
-                if "=" in s and _PAIR.match(s):
+                if "=" in s and _pairs(s):
                     continue
-                s = " ".join([_IDENT.sub(" ", w) if _ODD.search(w) else w for w in s.split()])
+                s = " ".join([_plain(w) if _ODD.search(w) else w for w in (_TICKS.sub(" ", s) if "`" in s else s).split()])
             if s[:12].lower().find("cited") >= 0 and _CITED.match(s):
                 continue
             t = " ".join(_SIGNS.sub(" ", s).lower().split())
-            if _THREE.search(t) or (not t.isascii() and len(_CJK.findall(t)) >= 5):
+            if _wordy(t):
                 out.append(t)
     return out
 
