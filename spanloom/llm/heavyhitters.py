@@ -153,4 +153,4 @@ def heavy_hitters(
     at = spark.createDataFrame(rows_, "h long, estimate double")  # bounded by the threshold, not by the data
     second = df.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.xxhash64(F.col(item)).alias("h"))
     counted = second.join(F.broadcast(at), "h").groupBy("item").agg(F.first("estimate").alias("estimate"), F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= share * n).withColumn("total", F.lit(n).cast("long"))
+    return counted.where(F.col("n") >= share * n * (1 - 1e-12)).withColumn("total", F.lit(n).cast("long"))

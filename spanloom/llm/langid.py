@@ -53,7 +53,7 @@ EVERYDAY = {
 }
 
 WINDOW, WIDTHS, FILTERS, EMBED = 64, (2, 3, 4, 5), 40, 12
-STAY = 0.75  # chance that a sentence is in the language of the one before it
+STAY = 0.65  # chance that a sentence is in the language of the one before it
 
 # --- text -----------------------------------------------------------------------------------------------------------
 
@@ -204,8 +204,8 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, drop: np.ndarray | None = N
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), [e, h, kept]
 
 
-def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, drop: np.ndarray) -> dict[str, np.ndarray]:
-    """drop: the factor of each pooled response (0 where it is left out)."""
+def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, drop: np.ndarray, bytes_too: bool = True) -> dict[str, np.ndarray]:
+    """drop: the factor of each pooled response (0 where it is left out); bytes_too: also for the bytes' embedding."""
     lp, (e, h, kept) = forward(m, x, drop)
     d = np.exp(lp)
     d[np.arange(len(x)), y] -= 1
@@ -217,6 +217,8 @@ def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, drop: np.n
         g[f"b{w}"] = dt.sum(axis=0)
         rows = at + (np.arange(len(x)) * (WINDOW - w + 1))[:, None]
         g[f"w{w}"] = np.einsum("nfk,nf->kf", cols[rows], dt, optimize=True)
+        if not bytes_too:
+            continue
         back = dt[:, :, None] * m[f"w{w}"].T[None]  # (n, filters, w * EMBED)
         pos = at[:, :, None] + np.arange(w)
         cell = x[np.arange(len(x))[:, None, None], pos].astype(np.int64)[..., None] * EMBED + np.arange(EMBED)
@@ -224,6 +226,13 @@ def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, drop: np.n
     return g
 
 
+def made_up(rng: np.random.Generator) -> str:
+    """A word of no language, as names of tables and projects are."""
+    a, b = "bcdfghklmnprstvwxz", "aeiou"
+    n = rng.integers(0, 16, 8)
+    return "".join(a[i % len(a)] + b[j % 5] + (a[(i + j) % len(a)] if j > 11 else "") for i, j in zip(n[:4], n[4:]))[: 3 + int(n[0]) // 2 + int(n[1]) % 3]
+
+
 def bare(text: str) -> str:
     """Without accents."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
@@ -231,11 +240,11 @@ def bare(text: str) -> str:
 
 def train(
     texts: list[str], labels: list[str], start: dict[str, np.ndarray] | None = None, more: list[tuple[str, int]] = (),
-    steps: int = 700, batch: int = 128, seed: int = 5, rate: float = 4e-3,
+    steps: int = 700, batch: int = 64, seed: int = 5, rate: float = 4e-3,
 ) -> dict[str, np.ndarray]:
-    """Fit the network on labelled texts with Adam.
+    """Fit the network on labelled texts with Adam; a part of the sentences is cut, stripped of accents, or given a made-up word.
 
-    start: arrays to go on from; more: further sentences with the position of their language.
+    start: arrays to go on from, the bytes' embedding as it is; more: further sentences with the position of their language.
     """
     rng = np.random.default_rng(seed)
     pool: dict[int, list[str]] = {i: [] for i in range(len(LANGS))}
@@ -263,11 +272,15 @@ def train(
                 words = t.split(" ") if i != len(LANGS) - 1 else list(t)
                 a = rng.integers(len(words))
                 t = (" " if i != len(LANGS) - 1 else "").join(words[a : a + rng.integers(3, 9)])
+            if rng.random() < 0.4 and i != len(LANGS) - 1:
+                words = t.split(" ")
+                words.insert(rng.integers(len(words) + 1), made_up(rng))
+                t = " ".join(words)
             if rng.random() < 0.4:
                 t = bare(t)
             ws = windows(t)
             rows.append(ws[rng.integers(len(ws))])
-        g = gradients(m, np.stack(rows), y, (rng.random((batch, len(WIDTHS) * FILTERS)) > 0.3).astype(np.float32) / np.float32(0.7))
+        g = gradients(m, np.stack(rows), y, (rng.random((batch, len(WIDTHS) * FILTERS)) > 0.3).astype(np.float32) / np.float32(0.7), start is None)
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in m:
             gk = g[k].astype(np.float32)
@@ -300,7 +313,7 @@ _fitted: dict[tuple, dict[str, np.ndarray]] = {}
 
 def fit(
     samples: DataFrame, documents: DataFrame | None = None, text: str = "text", lang: str = "lang",
-    max_samples: int = 5000, max_documents: int = 4000, max_chars: int = 4000,
+    max_samples: int = 5000, max_documents: int = 2500, max_chars: int = 4000,
 ) -> dict[str, np.ndarray]:
     """A network fitted on at most ``max_samples`` labelled rows, then on at most ``max_documents`` labelled documents.
 
