@@ -311,6 +311,9 @@ def spread(days: list[tuple[object, int]], target: int) -> tuple[list[tuple[obje
 def distinct_counts(df: DataFrame, day: str, items: Sequence[str], by: Sequence[str], alone: Sequence[str] = (), target: int = 150_000) -> DataFrame:
     """Distinct items per day and every combination of ``by``, and per day and each column of ``alone``.
 
+    An item that is itself a column of ``by`` is counted by the combinations of the others: within one of its own values
+    there is one of it.
+
     Rows go to tasks by day, a day of more than ``target`` rows to several; each task makes the sketches of all grouping
     sets of its rows. Days kept whole are done then; the parts of the others are merged by group.
 
@@ -319,7 +322,7 @@ def distinct_counts(df: DataFrame, day: str, items: Sequence[str], by: Sequence[
     """
     spark = df.sparkSession
     cols = [*by, *[a for a in alone if a not in by]]
-    sets = [(n, s) for n in range(len(items)) for s in grouping_sets(by)] + [(n, (a,)) for a in alone for n, i in enumerate(items) if i != a and a not in by]
+    sets = [(n, s) for n, i in enumerate(items) for s in grouping_sets([c for c in by if c != i])] + [(n, (a,)) for a in alone for n, i in enumerate(items) if i != a and a not in by]
     rows = df.select(F.col(day).alias("day"), *[F.col(c).cast("string").alias(c) for c in cols], *[F.when(F.col(i).isNotNull(), F.xxhash64(F.col(i))).alias(f"h{n}") for n, i in enumerate(items)])
     days = sorted(((r["day"], r["n"]) for r in df.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: str(x[0]))  # one row a day
     placed, n_tasks = spread(days, target)

@@ -43,7 +43,7 @@ def p2_statements(spark: SparkSession, d: str) -> DataFrame:
 def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Distinct fingerprints and instances per arrival day, group and combination of groups."""
     r = table(spark, d, "r").select(F.to_date("arrival_ts").alias("day"), "instance_id", F.lower("query_type").alias("query_type"), "database_id", "cluster_size", "feature_fingerprint")
-    return expsketch.distinct_counts(r, "day", ["feature_fingerprint", "instance_id"], ["query_type", "database_id", "cluster_size"], ["instance_id"])
+    return expsketch.distinct_counts(r, "day", ["feature_fingerprint", "instance_id"], ["instance_id", "query_type", "database_id", "cluster_size"])
 
 
 # --- problem 6: most frequent items --------------------------------------------------------------------------------

@@ -54,6 +54,31 @@ def test_every_combination_and_equal_however_days_are_cut(spark):
             assert v["estimate"] == r["n"] if v["exact"] else abs(v["estimate"] / r["n"] - 1) < 0.15
 
 
+def test_counted_column_among_the_groups(spark):
+    df = frame(spark)
+    for target in (100_000, 700):
+        rows = X.distinct_counts(df, "day", ["item", "inst"], ["inst", "kind", "db"], target=target).collect()
+        assert {r["grouping"] for r in rows if r["item"] == "item"} == {",".join(s) for s in X.grouping_sets(["inst", "kind", "db"])}
+        assert {r["grouping"] for r in rows if r["item"] == "inst"} == {",".join(s) for s in X.grouping_sets(["kind", "db"])}
+        for item, by in (("item", ["inst", "kind", "db"]), ("item", ["inst", "db"]), ("item", ["kind"]), ("inst", ["kind", "db"])):
+            want = {tuple(None if x is None else str(x) for x in r[:-1]): r["n"] for r in df.where(f"{item} is not null").groupBy("day", *by).agg(F.count_distinct(item).alias("n")).collect()}
+            mine = [r for r in rows if r["item"] == item and r["grouping"] == ",".join(by)]
+            got = {(r["day"], *[r[c] for c in by]): r for r in mine}
+            assert len(got) == len(mine) and set(got) == set(want)
+            assert all(r["estimate"] == want[k] if r["exact"] else abs(r["estimate"] / want[k] - 1) < 0.15 for k, r in got.items())
+
+
+def test_fingerprints_by_all_sixteen_combinations(spark, tmp_path):
+    from spanloom.llm.queries import p4_distinct
+
+    df = spark.createDataFrame([(1, 7, 4, 2, "Select", "2026-06-01 00:00:00", "f"), (2, None, 4, 2, "select", "2026-06-01 01:00:00", "g")], "query_id long, instance_id long, cluster_size int, database_id int, query_type string, arrival_ts string, feature_fingerprint string")
+    df.withColumn("arrival_ts", F.to_timestamp("arrival_ts")).write.parquet(str(tmp_path / "r.parquet"))
+    sets = {"feature_fingerprint": set(), "instance_id": set()}
+    for r in p4_distinct(spark, str(tmp_path)).collect():
+        sets[r["item"]].add(r["grouping"])
+    assert len(sets["feature_fingerprint"]) == 16 and "instance_id,query_type,database_id,cluster_size" in sets["feature_fingerprint"] and len(sets["instance_id"]) == 8
+
+
 def test_no_rows(spark):
     assert X.distinct_counts(frame(spark).limit(0), "day", ["item"], ["kind"]).count() == 0
 
