@@ -256,9 +256,8 @@ _NUM = r"(?i)(-?\d[\d,]*\.?\d*)\s*(k|m|bn|b|t)?\b"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """One answer a trace: its latest non-null document."""
-    docs = table(spark, d, "documents").where("trace_id is not null and text is not null and text <> ''")
-    return docs.groupBy("trace_id").agg(F.max_by("text", "doc_id").alias("text"))
+    """Every text of a trace, whatever its source."""
+    return table(spark, d, "documents").where("trace_id is not null and text is not null and text <> ''").select("trace_id", "text")
 
 
 _ANSWERS = "answers as (select trace_id, arg_max(text, doc_id) as text from documents where trace_id is not null and text is not null and text <> '' group by 1)"

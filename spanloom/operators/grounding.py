@@ -1,7 +1,7 @@
 """Which results reached an answer: values of result sets against the numbers and words of the text.
 
 Defined results: a value repeated in one result set counts once; an event without values is not grounded; a null answer
-grounds nothing.
+grounds nothing; where there are several answers, each is searched, and a value in any of them is found.
 """
 
 from __future__ import annotations
@@ -28,24 +28,25 @@ def value_frequency(events: DataFrame, by: list[str], key: list[str], values: st
 def verify(events: DataFrame, answers: DataFrame, by: list[str], key: list[str], values: str = "result_values", text: str = "text") -> DataFrame:
     """``key, grounded, uniquely_grounded, evidence`` (first four values found) of every event with an answer.
 
-    answers holds one text per ``by``. Numbers of a text are extracted once; a value meets only its own answer.
+    answers holds any number of texts per ``by``. Numbers of a text are extracted once; a value meets every answer of its own ``by``.
     """
     a = answers.select(*by, F.lower(text).alias("_lower"), T.numbers(F.col(text)).alias("_numbers"))
     v = values_of(events, [*by, *[k for k in key if k not in by]], values)
     freq = value_frequency(events, by, key, values)
     hit = F.when(F.col("number").isNotNull(), T.number_present(F.col("number"), F.col("_numbers"))).otherwise(T.text_present(F.col("value"), F.col("_lower")))
-    found = v.join(a, by).join(freq, [*by, "norm"]).withColumn("hit", F.coalesce(hit, F.lit(False)))
+    found = v.join(freq, [*by, "norm"]).join(a, by).withColumn("hit", F.coalesce(hit, F.lit(False)))
     agg = found.groupBy(*key).agg(
         F.bool_or("hit").alias("grounded"), F.bool_or(F.col("hit") & (F.col("sets") == 1)).alias("uniquely_grounded"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("pos", "value")))), 1, 4), lambda x: x["value"]).alias("evidence"))
+        F.transform(F.slice(F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct("pos", "value")))), 1, 4), lambda x: x["value"]).alias("evidence"))
     empty = F.array().cast("array<string>")
     return events.join(a.select(*by).distinct(), by, "left_semi").select(*key).distinct().join(agg, key, "left").select(
         *key, F.coalesce("grounded", F.lit(False)).alias("grounded"), F.coalesce("uniquely_grounded", F.lit(False)).alias("uniquely_grounded"), F.coalesce("evidence", empty).alias("evidence"))
 
 
 def claims(events: DataFrame, answers: DataFrame, by: list[str], label: str = "label", text: str = "text") -> DataFrame:
-    """Events with ``claimed``: whether the answer's CITED line names their label; null without such a line."""
-    a = answers.select(*by, T.cited(F.col(text)).alias("_cited"))
+    """Events with ``claimed``: whether the CITED line of any of their answers names their label; null without such a line."""
+    a = answers.select(*by, T.cited(F.col(text)).alias("_c")).groupBy(*by).agg(F.collect_set("_c").alias("_c"))
+    a = a.select(*by, F.when(F.size("_c") > 0, F.array_distinct(F.flatten("_c"))).alias("_cited"))
     return events.join(a, by, "left").withColumn("claimed", F.when(F.col("_cited").isNotNull(), F.array_contains("_cited", F.lower(F.col(label))))).drop("_cited")
 
 

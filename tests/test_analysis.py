@@ -120,6 +120,19 @@ def test_grounding(spark):
     assert (t["claimed"], t["grounded"], t["unique"], t["claimed_ungrounded"], t["grounded_unclaimed"]) == (2, 2, 1, 1, 1)
 
 
+def test_grounding_searches_every_text(spark, tmp_path):
+    from spanloom.analysis_queries import citation_totals, grounding_flags
+
+    e = [("t", "a", "q1", ["319875432.11", "EMEA"]), ("t", "b", "q2", ["postcard"]), ("t", "c", "q3", ["absent"]), ("u", "d", "q1", ["1234"])]
+    spark.createDataFrame([(*x, 1) for x in e], "trace_id string, span_id string, label string, result_values array<string>, logged_at long").write.parquet(str(tmp_path / "agent_events.parquet"))
+    texts = [(1, "t", "EMEA made $319.9M.\nCITED: q1"), (2, "t", "A postcard from EMEA.\nCITED: q3"), (3, "t", "Nothing here."), (4, "t", None), (5, "u", "no number")]
+    spark.createDataFrame(texts, "doc_id long, trace_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    flags = {r["span_id"]: (r["grounded"], r["uniquely_grounded"], r["evidence"]) for r in grounding_flags(spark, str(tmp_path)).collect()}
+    assert flags == {"a": (True, True, ["319875432.11", "EMEA"]), "b": (True, True, ["postcard"]), "c": (False, False, []), "d": (False, False, [])}
+    t = {r["trace_id"]: r for r in citation_totals(spark, str(tmp_path)).collect()}
+    assert tuple(t["t"])[1:] == (3, 2, 2, 2, 1, 1) and tuple(t["u"])[1:] == (1, 0, 0, 0, 0, 0)
+
+
 def test_measured_cost_refuses_zeros(spark):
     h = spark.createDataFrame([(1, '{"t":"a"}', 5, 1), (2, '{"t":"a"}', 5, 1), (3, "bad", 5, 1), (4, '{"t":"preflight"}', 1, 1), (5, '{"t":"b"}', 2, None)], "query_id long, query_tag string, total_elapsed_time long, bytes_scanned long")
     none = spark.createDataFrame([(1, 0.0)], "query_id long, credits_attributed_compute double")
