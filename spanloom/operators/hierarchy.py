@@ -17,6 +17,8 @@ Defined results
 * rows whose group or node id is null or blank are no nodes and give no row;
 * ``status`` is ``tree``, ``cycle`` (on a ring, a node naming itself included) or ``leads_to_cycle``; outside ``tree``
   root, depth and path are null; ``subtree_size`` counts the node and its descendants, null on a ring;
+* descendants are those of every node: below one that leads into a ring as in a tree; those of a node on a ring are all
+  other nodes of the ring and all that leads into it;
 * an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
@@ -209,8 +211,79 @@ def hierarchy(
     return few.unionByName(_large(one.where(F.col("g").isin(large)), max_task_nodes))
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """All (ancestor, descendant, distance) pairs of a :func:`hierarchy` result, a node with itself not included."""
-    return tree.where("status = 'tree' and depth > 0").select(
+def _climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of PAIRS from rows ``g, span, parent`` outside trees, sorted by group: every node climbs until it would meet a node again."""
+    buf: tuple[list, ...] = ([], [], [])
+    for pdf in batches:
+        for column, name in zip(buf, ("g", "span", "parent")):
+            column.extend(pdf[name].tolist())
+        last, end = buf[0][-1] if buf[0] else None, len(buf[0])
+        while end and buf[0][end - 1] == last:
+            end -= 1
+        if end >= 4096:
+            yield from _chains(*(c[:end] for c in buf))
+            buf = tuple(c[end:] for c in buf)  # type: ignore[assignment]
+    if buf[0]:
+        yield from _chains(*buf)
+
+
+def _chains(g: list, span: list, up: list) -> Iterator[pd.DataFrame]:
+    at = {x: i for i, x in enumerate(zip(g, span))}
+    parent = [at[x] for x in zip(g, up)]
+    ring = peel(np.asarray(parent, np.int64))[2]
+    out: tuple[list, ...] = ([], [], [], [])
+    for i in range(len(g)):
+        j, distance, entry = parent[i], 1, i if ring[i] else -1
+        while j != entry:
+            if entry < 0 and ring[j]:
+                entry = j
+            for column, x in zip(out, (g[i], span[j], span[i], distance)):
+                column.append(x)
+            j, distance = parent[j], distance + 1
+            if len(out[0]) >= BATCH_ELEMENTS:
+                yield _pairs(out)
+                out = ([], [], [], [])
+    if out[0]:
+        yield _pairs(out)
+
+
+PAIRS = "trace_id string, ancestor_id string, descendant_id string, distance int"
+
+
+def _pairs(out: tuple[list, ...]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("trace_id", "ancestor_id", "descendant_id", "distance"), out)))
+
+
+def _climb_rounds(off: DataFrame) -> DataFrame:
+    """The pairs of :func:`_climb` for large groups: one join a round moves all nodes one link up."""
+    links = off.select("g", F.col("span").alias("ancestor"), F.col("parent").alias("next"), F.col("ring").alias("_ring"))
+    at = off.select("g", F.col("span").alias("descendant"), F.when(F.col("ring"), F.col("span")).alias("entry"), F.col("parent").alias("ancestor"))
+    parts: list[DataFrame] = []
+    while True:
+        at = cut(at.where("entry is null or ancestor <> entry").join(links, ["g", "ancestor"]).select(
+            "g", "ancestor", "descendant", F.coalesce("entry", F.when(F.col("_ring"), F.col("ancestor"))).alias("entry"), "next"), name="climb")
+        if at.limit(1).count() == 0:
+            break
+        parts.append(at.select(F.col("g").alias("trace_id"), F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"), F.lit(len(parts) + 1).alias("distance")))
+        at = at.select("g", "descendant", "entry", F.col("next").alias("ancestor"))
+    out = off.sparkSession.createDataFrame([], PAIRS)
+    for x in parts:
+        out = out.unionByName(x)
+    return out
+
+
+def descendants(tree: DataFrame, max_task_nodes: int = 500_000) -> DataFrame:
+    """All (ancestor, descendant, distance) pairs of a :func:`hierarchy` result, a node with itself not included.
+
+    Outside trees, too: an ancestor is every other node met when the links are followed up, distance the links to it. So a
+    node on a ring has as descendants all other nodes of its ring and all that leads into it.
+    """
+    tree = cut(tree, name="tree")  # read three times
+    inside = tree.where("status = 'tree' and depth > 0").select(
         "trace_id", F.posexplode("path").alias("_at", "ancestor_id"), F.col("span_id").alias("descendant_id"), "depth",
     ).where("_at < depth").select("trace_id", "ancestor_id", "descendant_id", (F.col("depth") - F.col("_at")).cast("int").alias("distance"))
+    off = tree.where("status <> 'tree'").select(F.col("trace_id").alias("g"), F.col("span_id").alias("span"), F.col("parent_id").alias("parent"), (F.col("status") == "cycle").alias("ring"))
+    large = [r["g"] for r in off.groupBy("g").count().where(F.col("count") > max_task_nodes).collect()]  # at most rows / max_task_nodes
+    few = off.where(~F.col("g").isin(large)) if large else off
+    out = inside.unionByName(few.select("g", "span", "parent").repartition("g").sortWithinPartitions("g").mapInPandas(_climb, PAIRS))
+    return out.unionByName(_climb_rounds(off.where(F.col("g").isin(large)))) if large else out

@@ -83,3 +83,29 @@ def test_large_ring(spark):
     rows = [("t", f"n{i}", f"n{(i + 1) % 12}") for i in range(12)] + [("t", "leaf", "n3")]
     out = got(H.hierarchy(frame(spark, rows), max_task_nodes=5))
     assert sum(v == ("cycle", None) for v in out.values()) == 12 and out["t", "leaf"] == ("leads_to_cycle", None)
+
+
+@pytest.mark.parametrize("limit", [1000, 4])
+def test_descendants_outside_trees(spark, limit):
+    rng = random.Random(11)
+    rows = [("t", "a", "b"), ("t", "B", "c"), ("t", "c", "A"), ("t", "d", "b"), ("t", "e", "d"), ("t", "f", "E"), ("t", "me", "me"), ("t", "kid", "me"), ("t", "root", None), ("t", "leaf", "root")]
+    for t in range(4):
+        ids = [f"s{i}" for i in range(12)]
+        rows += [(f"u{t}", s, rng.choice([*ids, None])) for s in ids]
+    up = {(t, s.lower()): (t, p.lower()) for t, s, p in rows if p is not None}
+    shown = {(t, s.lower()): s for t, s, _ in rows}
+    want = set()
+    for t, s in shown:
+        seen, at = [(t, s)], up.get((t, s))
+        while at in shown and at not in seen:
+            want.add((t, shown[at], shown[t, s], len(seen)))
+            seen.append(at)
+            at = up.get(at)
+    tree = H.hierarchy(frame(spark, rows), max_task_nodes=limit)
+    out = [tuple(r) for r in H.descendants(tree, max_task_nodes=limit).collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+    assert {("t", "d", "f", 2), ("t", "B", "f", 3), ("t", "c", "f", 4), ("t", "a", "f", 5), ("t", "me", "kid", 1), ("t", "a", "c", 1)} <= want
+    below = {}
+    for t, a, d, _ in out:
+        below[t, a] = below.get((t, a), 0) + 1
+    assert all(r["subtree_size"] == 1 + below.get((r["trace_id"], r["span_id"]), 0) for r in tree.where("status <> 'cycle'").collect())
