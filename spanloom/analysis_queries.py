@@ -11,7 +11,7 @@ from spanloom.operators import billing, fleet, grounding, lineage, measured
 from spanloom.plans import extract, rollup
 from spanloom.plans.sqlplan import Shape, refusal
 from spanloom.queries import query
-from spanloom.session import table
+from spanloom.session import cut, table
 from spanloom.sources import querylog
 from spanloom.streaming import windows as streams
 
@@ -381,7 +381,7 @@ def rollup_total(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("total", F.round("total", 2))
 
 
-#: A small workload of shapes for the matcher's queries.
+#: A small workload of shapes, for the matcher's queries whose SQL spells it out; span_candidate_dims, span_cover_edges, cover_anchors and span_subexpressions take all statements.
 WORKLOAD = (
     Shape("orders", ("count(*)", "sum(amount)"), ("region",)), Shape("orders", ("avg(amount)",), (), ("region = 'EMEA'",), ("region",)), Shape("orders", ("max(amount)",), ("channel",), ("day >= '2026-07-01'",)),
     Shape("orders", ("count(*)",), ("date_trunc('month', day)",)), Shape("orders", ("count(*)", "sum(amount)"), ("day",)), Shape("orders", ("count(distinct customer)",), ("region",)),
@@ -427,10 +427,30 @@ def cover_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("rank.at").cast("int").alias("anchor_id"), F.col("shape_id").cast("int").alias("shape_id"))
 
 
+def _span_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct shapes of all modelled statements, with their number."""
+    s = extract.shapes(lineage.latest_spans(table(spark, d, "spans")).where("sql_text is not null"), "sql_text", "row_id").where("reason is null")
+    return cut(rollup.distinct(s), name="shapes")  # read several times
+
+
 @query()
 def cover_anchors(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(n, s.sql(), syn, got) for n, (s, syn, got) in enumerate(rollup.cover(_workload(spark)), 1)]
-    return spark.createDataFrame(rows, "anchor_no int, sql string, synthetic boolean, covers array<long>")
+    """The covering set of all modelled statements: a row a shape, with its rollup and its number of statements."""
+    return rollup.cover_rows(_span_shapes(spark, d)).withColumnRenamed("n", "statements")
+
+
+@query()
+def span_cover_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Which shape of a statement answers which other, of all modelled statements; statements: those of the answered shape."""
+    e = rollup.edges(_span_shapes(spark, d)).where("rank.o = 1")
+    return e.select(F.col("rank.at").alias("anchor_id"), "shape_id", F.col("n").alias("statements"))
+
+
+@query()
+def span_candidate_dims(spark: SparkSession, d: str) -> DataFrame:
+    """The dimensions of the rollups synthesized for all modelled statements."""
+    c = rollup.candidates(_span_shapes(spark, d))
+    return c.select("table", F.array_join("groupby", "|").alias("dims"), (F.col("whole") == 1).alias("all_dims"))
 
 
 @query(f"""

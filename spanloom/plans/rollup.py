@@ -1,20 +1,26 @@
 """Which rollups answer which aggregates, a small set of rollups that answers most, and answering from a rollup.
 
-Shapes are held as rows ``shape_id, table, measures, groupby, filters, eq_cols`` (:data:`SHAPES`); candidates likewise. The
-match of candidates and shapes is a join on the table with the rest of the test as array functions; equal shapes are
-folded before it. The greedy choice runs on the driver over the (candidate, shape) edges, whose number depends on the
-distinct shapes of a workload, not on its rows.
+Shapes are held as rows ``shape_id, table, measures, groupby, filters, eq_cols`` (:data:`SHAPES`); candidates likewise.
+:func:`distinct` folds equal shapes of a table of statements, with their number ``n``. The match of candidates and shapes is
+a join on what any match must share, with the whole test as array functions after it: the table, the filters that are no
+equalities (a rollup cannot add them later), one equality filter of the rollup, and one measure of the shape. Rollups and
+shapes that differ in table or such filters never meet, so the greedy choice falls into independent groups and runs in tasks;
+the edges of one group have to fit a task.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.plans.sqlplan import Shape
+from spanloom.session import cut
 
 SHAPES = "shape_id long, table string, measures array<string>, groupby array<string>, filters array<string>, eq_cols array<string>"
 #: Functions whose result follows from a finer grouping by their argument.
@@ -105,28 +111,122 @@ def pool(shapes: DataFrame) -> DataFrame:
     return c.unionByName(s).withColumn("rank", F.struct("o", "first", "whole", "at")).drop("o", "first", "whole", "at")
 
 
+def distinct(shapes: DataFrame) -> DataFrame:
+    """Equal shapes as one, with the smallest of their ids and their number ``n``."""
+    return shapes.groupBy("table", "measures", "groupby", "filters", "eq_cols").agg(F.min("shape_id").alias("shape_id"), F.count(F.lit(1)).alias("n"))
+
+
+def _longest(c: Column) -> Column:
+    """The longest of some strings, or an empty one: long filters and measures tend to be rare."""
+    return F.coalesce(F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"], F.lit(""))
+
+
 def edges(shapes: DataFrame) -> DataFrame:
-    """Which rollup of the pool answers which shape: ``rank, shape_id``."""
-    a = pool(shapes).select("rank", F.col("table").alias("_t"), F.struct("table", "measures", "groupby", "filters").alias("a"))
-    q = shapes.select("shape_id", F.col("table").alias("_u"), F.struct("table", "measures", "groupby", "filters").alias("q"))
-    return a.join(q, (F.col("_t") == F.col("_u")) & subsumes_column()).select("rank", "shape_id")
+    """Which rollup of the pool answers which shape: ``rank, shape_id, n, g``; n: statements of the shape (1 if shapes has no such column), g: group of the greedy choice."""
+    is_equal = lambda f: F.regexp_extract(f, _EQUAL, 1) != ""
+    fixed, equal = F.array_sort(F.array_distinct(F.filter("filters", lambda f: ~is_equal(f)))), F.array_distinct(F.filter("filters", is_equal))
+    need = F.transform("measures", lambda m: F.when(m.startswith("avg("), F.concat(F.lit("sum("), F.substring(m, 5, 1 << 20))).otherwise(m))
+    none = F.array(F.lit(""))
+    a = pool(shapes).select("rank", F.col("table").alias("_t"), fixed.alias("_f"), _longest(equal).alias("_e"), F.struct("table", "measures", "groupby", "filters").alias("a"))
+    a = a.withColumn("_m", F.explode(F.array_union("a.measures", none)))
+    q = shapes.select("shape_id", F.col("n") if "n" in shapes.columns else F.lit(1).cast("long").alias("n"), F.col("table").alias("_u"), fixed.alias("_v"), _longest(need).alias("_w"), equal.alias("_x"), F.struct("table", "measures", "groupby", "filters").alias("q"))
+    q = q.withColumn("_x", F.explode(F.array_union("_x", none)))
+    same = (F.col("_t") == F.col("_u")) & (F.col("_f") == F.col("_v")) & (F.col("_e") == F.col("_x")) & (F.col("_m") == F.col("_w"))
+    return a.join(q, same & subsumes_column()).select("rank", "shape_id", "n", F.xxhash64("_u", "_v").alias("g"))
+
+
+_RANK = ("o", "first", "whole", "at")
+CHOSEN = "o int, first long, whole int, at long, gain long, shape_id long"
+#: Edges from which whole groups are handed on.
+_EDGES = 200_000
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of CHOSEN from edges sorted by group. Groups share nothing, so several may be chosen from at once."""
+    keep: list[pd.DataFrame] = []
+    held = 0
+    for pdf in batches:
+        keep.append(pdf)
+        held += len(pdf)
+        if held >= _EDGES:
+            some = pd.concat(keep, ignore_index=True)
+            rest = (some["g"] == some["g"].iloc[-1]).to_numpy()
+            if not rest.all():
+                yield from _choose(some[~rest])
+            keep, held = [some[rest]], 0
+    if keep:
+        yield from _choose(pd.concat(keep, ignore_index=True))
+
+
+def _choose(e: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Most statements first, the lowest rank of equal ones; a gain is counted again only when it comes up."""
+    if not len(e):
+        return
+    e = e.sort_values([*_RANK, "shape_id"], ignore_index=True)
+    head = (e[[*_RANK]] != e[[*_RANK]].shift()).any(axis=1).to_numpy()
+    starts = np.append(np.flatnonzero(head), len(e))
+    shape, ids = pd.factorize(e["shape_id"])
+    weight = np.zeros(len(ids), np.int64)
+    weight[shape] = e["n"].to_numpy()
+    left = np.ones(len(ids), bool)
+    heap = [(-int(weight[shape[starts[i] : starts[i + 1]]].sum()), i) for i in range(len(starts) - 1)]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        most, i = heapq.heappop(heap)
+        mine = shape[starts[i] : starts[i + 1]]
+        mine = mine[left[mine]]
+        gain = int(weight[mine].sum())
+        if gain and gain == -most:
+            left[mine] = False
+            rank = tuple(e[c].iat[starts[i]] for c in _RANK)
+            out += [(*rank, gain, x) for x in ids[mine]]
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=[*_RANK, "gain", "shape_id"])
+                out = []
+        elif gain:
+            heapq.heappush(heap, (-gain, i))
+    if out:
+        yield pd.DataFrame(out, columns=[*_RANK, "gain", "shape_id"])
+
+
+def assignment(shapes: DataFrame) -> DataFrame:
+    """The covering set, a row a covered shape: ``o, first, whole, at`` (the rollup's rank; at -1: none), ``gain``, the rollup, ``shape_id``.
+
+    Gains are statements newly answered. Rollups in the order chosen are those by falling gain, then rank: gains of a
+    group never rise, and the lowest rank of equal gains is chosen first.
+    """
+    rank = [F.col("rank.o").alias("o"), F.col("rank.first").alias("first"), F.col("rank.whole").alias("whole"), F.coalesce("rank.at", F.lit(-1)).cast("long").alias("at")]
+    got = edges(shapes).select(*rank, "shape_id", "n", "g").repartition("g").sortWithinPartitions("g").mapInPandas(_greedy, CHOSEN)
+    return got.join(pool(shapes).select(*rank, "synthetic", "table", "measures", "groupby", "filters"), [*_RANK])
 
 
 def cover(shapes: DataFrame) -> list[tuple[Shape, bool, list[int]]]:
-    """Anchors in the order chosen: (rollup, synthetic, shapes it newly answers). The first of equal gains wins."""
-    pairs: dict[tuple, set[int]] = {}
-    for r in edges(shapes).collect():
-        pairs.setdefault(tuple(-1 if x is None else x for x in r["rank"]), set()).add(r["shape_id"])
-    rollups = {tuple(-1 if x is None else x for x in r["rank"]): (Shape(r["table"], tuple(r["measures"]), tuple(r["groupby"]), tuple(r["filters"])), r["synthetic"]) for r in pool(shapes).collect()}
-    left, out = set().union(*pairs.values()) if pairs else set(), []
-    while left:
-        rank = max(sorted(pairs), key=lambda k: len(pairs[k] & left))
-        got = pairs[rank] & left
-        if not got:
-            break
-        out.append((*rollups[rank], sorted(got)))
-        left -= got
-    return out
+    """Anchors in the order chosen: (rollup, synthetic, shapes it newly answers). The first of equal gains wins. For an experiment's shapes: the set comes to the driver."""
+    out: dict[tuple, tuple[Shape, bool, list[int]]] = {}
+    for r in sorted(assignment(shapes).collect(), key=lambda r: (-r["gain"], *[r[c] for c in _RANK], r["shape_id"])):
+        out.setdefault(tuple(r[c] for c in _RANK), (Shape(r["table"], tuple(r["measures"]), tuple(r["groupby"]), tuple(r["filters"])), r["synthetic"], []))[2].append(r["shape_id"])
+    return list(out.values())
+
+
+def cover_rows(shapes: DataFrame) -> DataFrame:
+    """The covering set as rows ``anchor_no, sql, synthetic, shape_id, n``; anchors numbered in the order chosen, without sorting them in one task."""
+    spark = shapes.sparkSession
+    got = cut(assignment(shapes), name="cover")
+    sql = F.concat(F.lit("select "), F.array_join(F.concat("groupby", "measures"), ", "), F.lit(" from "), F.col("table"),
+                   F.when(F.size("filters") > 0, F.concat(F.lit(" where "), F.array_join("filters", " and "))).otherwise(""),
+                   F.when(F.size("groupby") > 0, F.concat(F.lit(" group by "), F.array_join("groupby", ", "))).otherwise(""))
+    anchors = got.groupBy(*_RANK).agg(F.first("gain").alias("gain"), F.first(sql).alias("sql"), F.first("synthetic").alias("synthetic"))
+    anchors = cut(anchors.orderBy(F.desc("gain"), *_RANK).withColumn("_at", F.monotonically_increasing_id()), name="anchors")
+    first, before = [], 0
+    for r in sorted(anchors.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()):  # a row a partition of the sort
+        first.append((r["p"], before))
+        before += r["count"]
+    first_of = F.broadcast(spark.createDataFrame(first, "_p long, _before long"))
+    no = (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("anchor_no")
+    named = anchors.join(first_of, F.shiftright("_at", 33) == F.col("_p")).select(*_RANK, no, "sql", "synthetic")
+    n = shapes.select("shape_id", F.col("n") if "n" in shapes.columns else F.lit(1).cast("long").alias("n"))
+    return got.select(*_RANK, "shape_id").join(named, [*_RANK]).join(n, "shape_id").select("anchor_no", "sql", "synthetic", "shape_id", "n")
 
 
 # --- sub-expressions ------------------------------------------------------------------------------------------------

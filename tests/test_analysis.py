@@ -110,6 +110,47 @@ def test_cover(spark):
     assert fleet.verdict(0.2) == "reproduces" and fleet.verdict(0.5) == "does not reproduce"
 
 
+def test_cover_of_a_table(spark, tmp_path):
+    """Match and covering set of all statements against every pair and the plain greedy choice, equal shapes folded."""
+    from spanloom.analysis_queries import cover_anchors, span_candidate_dims, span_cover_edges
+    from spanloom.plans import extract
+
+    rng = random.Random(5)
+    some = lambda xs, least=0: rng.sample(xs, rng.randint(least, len(xs)))
+    rows = []
+    for i in range(160):
+        g, m = some(["r", "c", "date_trunc('month', d)", "d"]), some(["sum(x)", "count(*)", "avg(x)", "max(y)", "count(distinct z)"], 1)
+        f = some(["r = 'A'", "c = 'x'", "d >= 3", "r <> 'B'", "d = 4"])[:2]
+        rows.append((i, f"t{i % 9}", f"s{i}", "select " + ", ".join(g + m) + f" from {rng.choice('tu')}" + (" where " + " and ".join(f) if f else "") + (" group by " + ", ".join(g) if g else ""), 1))
+    rows += [(200 + i, "x", f"s{i}", rows[3][3], 1) for i in range(7)] + [(300, "x", "no", "not sql", 1)]
+    spark.createDataFrame(rows, "row_id long, trace_id string, span_id string, sql_text string, ingested_at long").write.parquet(str(tmp_path / "spans.parquet"))
+    folded = {}
+    for i, _, _, sql, _ in rows[:-1]:
+        s = extract.shape_of(sql)
+        folded.setdefault(s, []).append(i)
+    shapes = {ids[0]: s for s, ids in folded.items()}
+    n = {ids[0]: len(ids) for ids in folded.values()}
+    edges = {(r["anchor_id"], r["shape_id"]): r["statements"] for r in span_cover_edges(spark, str(tmp_path)).collect()}
+    assert edges == {(a, q): n[q] for a in shapes for q in shapes if R.subsumes(shapes[a], shapes[q])}
+    dims = {(s.table, "|".join(sorted({*s.groupby, *s.eq_cols}))) for s in shapes.values()}
+    assert {(r["table"], r["dims"]) for r in span_candidate_dims(spark, str(tmp_path)).where("not all_dims").collect()} == dims
+    pool = {tuple(-1 if x is None else x for x in r["rank"]): Shape(r["table"], tuple(r["measures"]), tuple(r["groupby"]), tuple(r["filters"])) for r in R.pool(R.frame(spark, shapes.items())).collect()}
+    pairs, left, want = {k: {q for q in shapes if R.subsumes(a, shapes[q])} for k, a in pool.items()}, set(shapes), []
+    while True:
+        best = max(sorted(pairs), key=lambda k: sum(n[q] for q in pairs[k] & left))
+        if not pairs[best] & left:
+            break
+        want += [(pool[best].sql(), q) for q in pairs[best] & left]
+        left -= pairs[best]
+    got = cover_anchors(spark, str(tmp_path)).collect()
+    assert all(r["statements"] == n[r["shape_id"]] for r in got)
+    assert {(r["shape_id"], r["sql"]) for r in got} == {(q, sql) for sql, q in want} and max(r["anchor_no"] for r in got) == len({r["sql"] for r in got})
+    first = {}
+    for r in sorted(got, key=lambda r: (r["anchor_no"], r["shape_id"])):
+        first.setdefault(r["anchor_no"], r["sql"])
+    assert list(first.values()) == list(dict.fromkeys(sql for sql, _ in want))
+
+
 def test_grounding(spark):
     e = spark.createDataFrame([("t", "a", "q1", ["319875432.11", "EMEA", "EMEA"]), ("t", "b", "q2", ["EMEA", "7"]), ("t", "c", "q3", []), ("u", "d", "q1", ["1"])], "trace_id string, span_id string, label string, result_values array<string>")
     a = spark.createDataFrame([("t", "Revenue in EMEA was $319.9M.\n- CITED: q2, q3")], "trace_id string, text string")
