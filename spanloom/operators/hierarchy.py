@@ -178,7 +178,7 @@ def _large(df: DataFrame, max_task_nodes: int) -> DataFrame:
     done = cut(top)
     above, parts = done, [done]
     for leaves in reversed(rounds):
-        up = above.select(F.col("trace_id").alias("g"), F.lower(F.trim("span_id")).alias("p"), F.col("span_id").alias("up"), "status", "root_id", "depth", "path")
+        up = above.select(F.col("trace_id").alias("g"), clean_id(F.col("span_id")).alias("p"), F.col("span_id").alias("up"), "status", "root_id", "depth", "path")
         got = cut(leaves.join(up, ["g", "p"], "left").select(
             F.col("g").alias("trace_id"), F.col("shown").alias("span_id"), F.col("up").alias("parent_id"),
             F.when(F.col("up").isNull() | (F.col("status") == "tree"), "tree").otherwise("leads_to_cycle").alias("status"),

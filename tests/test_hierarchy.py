@@ -109,3 +109,10 @@ def test_descendants_outside_trees(spark, limit):
     for t, a, d, _ in out:
         below[t, a] = below.get((t, a), 0) + 1
     assert all(r["subtree_size"] == 1 + below.get((r["trace_id"], r["span_id"]), 0) for r in tree.where("status <> 'cycle'").collect())
+
+
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_white_space_of_any_kind_in_large_traces(spark, limit):
+    rows = [("t", "\ttop\n", None), ("t", "mid\n", "top"), ("t", "low", "\tMID"), ("t", "leaf", "low\t"), ("t", "x\n", "y"), ("t", "\ty", "x"), ("t", "hung", "\nx"), ("t", "end", "hung")]
+    want = {(t, s): v for (t, s), v in brute(rows).items()}
+    assert got(H.hierarchy(frame(spark, rows), max_task_nodes=limit)) == want
