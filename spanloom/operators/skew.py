@@ -1,12 +1,13 @@
 """Per-key results where a few keys hold most rows: fragment-replicate by estimated load.
 
-1. Load: rows per key, counted with map-side combine (each task sends one row a key).
+1. Load: rows per key, counted with map-side combine (each task sends one row a key); for per-key results the rows are
+   the pairs of key and item with their counts, so neither a hot pair nor null items of a heavy key weigh on one task.
 2. Plan: keys above a fraction of a task's fair share are split into shards in proportion to their load and packed
    onto the least loaded tasks (longest first); all other keys stay where their hash puts them, and the load they
    bring is the starting load of the bins. The plan has at most ``5 * tasks`` shards, whatever the data.
 3. Route: a row goes to its key's shard by the hash of its item, so equal items of a key meet in one shard and
    distinct counts of the shards add up. Rows are sent straight to the planned task.
-4. A matching side is replicated only to the shards of its key (:func:`fragment_replicate_join`).
+4. A matching side is replicated only to the planned tasks of its key's shards (:func:`fragment_replicate_join`).
 
 Defined results: a null key is one key of its own; null items count as rows, not as distinct items; no rows give no
 keys. Only the named columns are read, so other columns may have any name.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.session import cut, tasks
@@ -77,12 +78,13 @@ def route(df: DataFrame, key: str, item: str, placement: DataFrame, n_tasks: int
 def per_key(df: DataFrame, key: str, item: str, n_tasks: int | None = None) -> DataFrame:
     """Rows, distinct items and redundancy (1 - distinct items / rows with an item) of every key; ``total``: rows of all keys."""
     n = n_tasks or 4 * tasks(df.sparkSession)
-    rows = df.select(F.col(key).alias("k"), F.col(item).alias("i"))
-    placement, total = plan(rows, "k", n)
-    routed = route(rows, "k", "i", placement, n)
-    # the routing already brought equal (task, key, item) together: no exchange before the last, small one
-    items = routed.groupBy("_task", "k", "i").agg(F.count(F.lit(1)).alias("n"))
-    shards = items.groupBy("_task", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("i").isNotNull(), F.col("n")).otherwise(0)).alias("with_item"), F.count("i").alias("d"))
+    # counted map-side: a hot pair of key and item is one row a task, then one row
+    pairs = cut(df.select(F.col(key).alias("k"), F.col(item).alias("i")).groupBy("k", "i").agg(F.count(F.lit(1)).alias("n")), name="pairs")  # read three times
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    placement, _ = plan(pairs, "k", n)
+    routed = route(pairs, "k", "i", placement, n)
+    # the routing already brought a task's rows of a key together: no exchange before the last, small one
+    shards = routed.groupBy("_task", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("i").isNotNull(), F.col("n")).otherwise(0)).alias("with_item"), F.count("i").alias("d"))
     return shards.groupBy("k").agg(F.sum("n").alias("queries"), F.sum("with_item").alias("with_item"), F.sum("d").alias("distinct_items")).select(
         F.col("k").alias(key), "queries", "distinct_items",
         F.when(F.col("with_item") > 0, 1 - F.col("distinct_items") / F.col("with_item")).alias("redundancy"), F.lit(total).cast("long").alias("total"))
@@ -96,10 +98,18 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     """
     n = n_tasks or 4 * tasks(left.sparkSession)
     placement, _ = plan(left.select(key), key, n)
-    at = F.broadcast(placement.select("_key", "_shards"))
+    at = F.broadcast(placement)  # at most 4 * n rows, see plan()
+
+    def home(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    # a null key meets nothing, so its rows may lie anywhere
     l = left.join(at, F.col(key) == F.col("_key"), "left").withColumn(
-        "_shard", F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), F.col(spread)), F.col("_shards")), F.lit(0)).cast("int")).drop("_key", "_shards")
+        "__fr_shard", F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), F.col(spread)), F.col("_shards")), F.lit(0)).cast("int")).withColumn(
+        "__fr_task", F.when(F.col(key).isNull(), home(F.col(spread))).otherwise(F.coalesce(F.element_at("_places", F.col("__fr_shard") + 1), home(F.col(key))))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_task")
     r = right.select(F.col(key).alias("__fr_rkey"), *[F.col(c).alias(c + "_right" if c in left.columns else c) for c in right.columns if c != key])
-    r = r.join(at, F.col("__fr_rkey") == F.col("_key"), "left").withColumn(
-        "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).drop("_key", "_shards")
-    return l.join(r, (F.col(key) == F.col("__fr_rkey")) & (F.col("_shard") == F.col("__fr_rshard")), how).drop("__fr_rkey", "__fr_rshard", "_shard")
+    r = r.where("__fr_rkey is not null").join(at, F.col("__fr_rkey") == F.col("_key"), "left").withColumn(
+        "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).withColumn(
+        "__fr_rtask", F.coalesce(F.element_at("_places", F.col("__fr_rshard") + 1), home(F.col("__fr_rkey").try_cast(left.schema[key].dataType)))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_rtask")
+    same = (F.col("__fr_task") == F.col("__fr_rtask")) & (F.col(key) == F.col("__fr_rkey")) & (F.col("__fr_shard") == F.col("__fr_rshard"))
+    return l.join(r, same, how).drop("__fr_rkey", "__fr_rshard", "__fr_rtask", "__fr_shard", "__fr_task")

@@ -54,3 +54,25 @@ def test_join_replicates_only_heavy_keys(spark):
 def test_empty(spark):
     _, df = data(spark)
     assert skew.per_key(df.limit(0), "k", "i", 8).count() == 0
+
+
+def test_a_hot_pair_is_one_routed_row(spark, monkeypatch):
+    rows = [(7, "hot")] * 1500 + [(7, None)] * 900 + [(k, f"f{k % 5}") for k in range(30)]
+    seen, route = [], skew.route
+    monkeypatch.setattr(skew, "route", lambda df, *a: seen.append(df) or route(df, *a))
+    got = {r["k"]: r for r in skew.per_key(spark.createDataFrame(rows, "k long, i string").repartition(4), "k", "i", 8).collect()}
+    assert seen[0].count() == len(set(rows)) and len(got) == 30
+    assert (got[7]["queries"], got[7]["distinct_items"], got[7]["total"]) == (2401, 2, len(rows)) and abs(got[7]["redundancy"] - (1 - 2 / 1501)) < 1e-12
+
+
+def test_join_runs_in_the_planned_tasks(spark):
+    _, df = data(spark)
+    df = df.select("k", "i", "n")
+    right = spark.createDataFrame([(k, f"name{k}") for k in range(45)], "k long, name string")
+    places = {r["_key"]: set(r["_places"]) for r in skew.plan(df, "k", 8)[0].collect()}
+    for x in (right, right.hint("merge")):
+        joined = skew.fragment_replicate_join(df, x, "k", "n", 8)
+        at = {r["p"] for r in joined.where("k = 7").select(F.spark_partition_id().alias("p")).distinct().collect()}
+        assert len(places[7]) > 1 and at == places[7]
+    other = skew.fragment_replicate_join(df, right.withColumn("k", F.col("k").cast("int")), "k", "n", 8)
+    assert other.count() == df.where("k is not null").count()
