@@ -99,7 +99,7 @@ def compile_prefix(prefix: str) -> list[tuple]:
     return states + [_LEVEL, _lit(":  "), ("rest", "message")]
 
 
-#: Layouts of other programs: connection pooler, csv, standard-library logger, syslog, bracketed, glog.
+#: Layouts of other programs: connection pooler, csv, standard-library logger, syslog, bracketed.
 LAYOUTS: dict[str, list[tuple]] = {
     "pooler": [*ESCAPES["m"], _lit(" ["), _n("pid", 1, 10), _lit("] "), _LEVEL, _lit(" "), ("run", "component", ALPHA, 1, 1), _lit("-0x"), ("run", "", HEX, 1, 16), _lit(": "), ("rest", "message")],
     "csv": [*ESCAPES["m"], _lit(","), ("cell", "user"), _lit(","), ("cell", "db"), _lit(","), _n("pid", 1, 10), _lit(","), ("cell", ""), _lit(","), _LEVEL, _lit(","), ("run", "", WORD, 5, 5), _lit(","), ("rest", "message")],
