@@ -8,7 +8,8 @@
 4. Sampling: a document of a cell with weight ``w`` times its tokens occurs ``floor(w)`` times and once more with the
    remaining probability, decided by a hash of mix and document. Per mix and source the cut of that hash is then
    shifted so that the tokens drawn meet the raked total (a histogram of 4096 bins a source, then one bin's documents
-   more or less), which removes the sampling error.
+   more or less), which removes the sampling error. A document at its cap takes no part in that: no document ever
+   occurs more than ``max_repeats`` times.
 
 A source that holds too little even when repeated ``max_repeats`` times gives all it can; the shortfall is reported, not
 filled from other sources.
@@ -106,9 +107,9 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[tuple]]:
     at = spark.createDataFrame(weights, "mix_id int, src string, lang string, topic string, w double, cap int")  # cells times mixes
     u = (F.pmod(F.xxhash64(F.lit("mix"), "mix_id", "doc_id"), F.lit(1 << 40)) / float(1 << 40))
     drawn = docs.where("n_tokens > 0").join(F.broadcast(at), ["src", "lang", "topic"]).withColumn("base", F.floor(F.col("w") + 1e-9).cast("int"))
-    drawn = drawn.withColumn("v", F.when(F.col("base") < F.col("cap"), u - 1 + F.greatest(F.col("w") - F.col("base"), F.lit(0.0))))
-    bin_ = F.least(F.floor((F.col("v") + 1) / 2 * BINS), F.lit(BINS - 1)).cast("int")
-    drawn = drawn.withColumn("bin", bin_)
+    # a document at its cap has no chance of one more copy: no bin
+    v = u - 1 + F.greatest(F.col("w") - F.col("base"), F.lit(0.0))
+    drawn = drawn.withColumn("bin", F.when(F.col("base") < F.col("cap"), F.least(F.floor((v + 1) / 2 * BINS), F.lit(BINS - 1))).cast("int"))
     hist = drawn.groupBy("mix_id", "src", "bin").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("base")).alias("b")).collect()  # at most BINS rows a mix and source
     cuts = []
     for mix_id, s, _, _, _, _, got in plan:
@@ -121,19 +122,19 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[tuple]]:
                 best, first = abs(lack - have), b
         cuts.append((mix_id, s, first))
     edge = spark.createDataFrame(cuts, "mix_id int, src string, first int")  # a row a mix and source
-    out = drawn.join(F.broadcast(edge), ["mix_id", "src"]).withColumn("copies", F.col("base") + F.when(F.col("bin") >= F.col("first"), 1).otherwise(0))
+    out = drawn.join(F.broadcast(edge), ["mix_id", "src"]).withColumn("copies", F.col("base") + F.when(F.col("bin").isNotNull() & (F.col("bin") >= F.col("first")), 1).otherwise(0))
     return out.where("copies > 0").select("mix_id", "doc_id", "src", "n_tokens", "copies"), plan
 
 
 def shares(mixed: DataFrame, plan: list[tuple]) -> DataFrame:
     """What each source reached: target and actual tokens and shares, and whether its target can be met at all."""
     spark = mixed.sparkSession
-    got = mixed.groupBy("mix_id", "src").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+    got = mixed.groupBy("mix_id", "src").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"), F.max("n_tokens").alias("largest"))
     p = spark.createDataFrame(plan, "mix_id int, source string, target_share double, max_repeats int, target_tokens double, most_tokens double, planned_tokens double")
-    x = p.join(got, (p["mix_id"] == got["mix_id"]) & (p["source"] == got["src"]), "left").select(p["*"], F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    x = p.join(got, (p["mix_id"] == got["mix_id"]) & (p["source"] == got["src"]), "left").select(p["*"], F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("largest", F.lit(0)).alias("largest_document"))
     all_ = x.groupBy("mix_id").agg(F.sum("actual_tokens").alias("_all"), F.sum("target_tokens").alias("_size"))
     return x.join(all_, "mix_id").select(
-        "mix_id", "source", "target_share", "max_repeats", "target_tokens", "actual_tokens", "documents", "most_copies",
+        "mix_id", "source", "target_share", "max_repeats", "target_tokens", "actual_tokens", "most_tokens", "documents", "most_copies", "largest_document",
         F.when(F.col("_all") > 0, F.col("actual_tokens") / F.col("_all")).otherwise(0.0).alias("actual_share"),
         F.when(F.col("_size") > 0, F.col("actual_tokens") / F.col("_size")).otherwise(0.0).alias("share_of_size"),
         (F.col("most_tokens") >= F.col("target_tokens")).alias("reachable"))

@@ -88,6 +88,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, d))
 
 
+@query("select mix_id, source, true as within_cap, true as share_met from mix_targets where mix_id is not null and source is not null")
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source of a mix: no document beyond ``max_repeats``, and its tokens met within a hundredth or one document; out of reach, all there is used."""
+    s = mixing.shares(*_mixed(spark, d))
+    near = F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= F.greatest(0.01 * F.col("target_tokens"), F.col("largest_document"))
+    met = F.when(F.col("reachable"), near).otherwise(F.col("actual_tokens") == F.col("most_tokens"))
+    return s.select("mix_id", "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), met.alias("share_met"))
+
+
 # --- problem 9: languages ------------------------------------------------------------------------------------------
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:

@@ -50,3 +50,26 @@ def test_no_documents(spark):
     mixed, plan = M.mix(M.sized(d.limit(0), a, t), t)
     assert mixed.count() == 0
     assert all(r["actual_share"] == 0 and r["actual_tokens"] == 0 for r in M.shares(mixed, plan).collect())
+
+
+def test_a_document_at_its_cap_gets_no_further_copy(spark):
+    """One source out of reach (all its documents at the cap) beside one whose cut falls into the top bin."""
+    docs = [(i, "word " * 5, "rare" if i < 40 else "blog", "en", "a0", 1) for i in range(1500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, agent_id string, src int")
+    a = spark.createDataFrame([("a0", "x")], "agent_id string, team string")
+    for ratio in (0.3, 0.03, 0.0101):
+        t = spark.createDataFrame([(1, "rare", 0.9, 3, ratio), (1, "blog", 0.1, 1, ratio), (2, "rare", 0.999, 1, 0.9), (2, "blog", 0.001, 2, 0.9)], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
+        cap = {(r["mix_id"], r["source"]): r["max_repeats"] for r in t.collect()}
+        rows = M.mix(M.sized(d, a, t), t)[0].collect()
+        assert rows and all(r["copies"] <= cap[r["mix_id"], r["src"]] for r in rows)
+
+
+def test_caps_on_the_given_tables(spark):
+    import os
+
+    from spanloom.llm.queries import p8_limits
+
+    for sf in ("sf0.001", "sf0.01"):
+        d = f"/root/testdata/{sf}"
+        if os.path.isdir(d):
+            assert p8_limits(spark, d).where("not within_cap").count() == 0
