@@ -6,11 +6,11 @@ unknown grounding; ids compare trimmed and in lower case.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import intent_label
-from spanloom.operators.hierarchy import clean_id, hierarchy
+from spanloom.operators.hierarchy import clean_id, depth_first
 
 
 def latest_spans(spans: DataFrame) -> DataFrame:
@@ -48,13 +48,9 @@ def roots(spans: DataFrame) -> DataFrame:
 def plan_tree(spans: DataFrame) -> DataFrame:
     """Spans of trees in depth-first order: ``trace_id, span_id, parent_id, depth, position`` (from 1 within the trace).
 
-    Siblings come in the order of their start, ties by id. The order key is the path of (start, id) pairs.
+    Siblings come in the order of their start, ties by id.
     """
-    tree = hierarchy(spans).where("status = 'tree'")
-    start = latest_spans(spans).select(F.col("trace_key").alias("_t"), F.col("span_key").alias("_s"), F.struct(F.coalesce("start_ms", F.lit(0)).alias("at"), F.col("span_key").alias("id")).alias("_at"))
-    steps = tree.select("trace_id", "span_id", F.posexplode("path").alias("_n", "_p"))
-    keys = steps.join(start, (F.col("trace_id") == F.col("_t")) & (F.lower("_p") == F.col("_s"))).groupBy("trace_id", "span_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_at"))), lambda x: x["_at"]).alias("_key"))
-    return tree.join(keys, ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_id", "depth", F.row_number().over(Window.partitionBy("trace_id").orderBy("_key")).alias("position"))
+    return depth_first(spans, "start_ms")
 
 
 def sibling_groups(costed: DataFrame, parent: str = "parent_key", more_than: int = 3) -> DataFrame:

@@ -47,9 +47,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (tests, one machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset and all tasks run on this machine, one of our own; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/spanloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(_remove, spark, at)
@@ -69,13 +74,23 @@ def cut(df: DataFrame, *, name: str = "cut") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     The written table ends the lineage: a lost executor costs a re-read, never a recomputation of an
-    iterative plan. The table is removed when the driver's process ends.
+    iterative plan. A table no later step reads is dropped by :func:`release`, the others when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spanloom_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables :func:`cut` wrote that nothing reads any more (those of the earlier rounds of an iteration)."""
+    for t in tables:
+        path = getattr(t, "_spanloom_path", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def tasks(spark: SparkSession) -> int:

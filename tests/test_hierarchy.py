@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy as H
 
@@ -116,3 +118,49 @@ def test_white_space_of_any_kind_in_large_traces(spark, limit):
     rows = [("t", "\ttop\n", None), ("t", "mid\n", "top"), ("t", "low", "\tMID"), ("t", "leaf", "low\t"), ("t", "x\n", "y"), ("t", "\ty", "x"), ("t", "hung", "\nx"), ("t", "end", "hung")]
     want = {(t, s): v for (t, s), v in brute(rows).items()}
     assert got(H.hierarchy(frame(spark, rows), max_task_nodes=limit)) == want
+
+
+def messy(rng, n, traces):
+    """Random links with rings, lost parents, tabs, letter case and repeated rows."""
+    rows = []
+    for t in range(traces):
+        ids = [f"s{i}" for i in range(n)]
+        for i, s in enumerate(ids):
+            up = ids[i - 1] if i and rng.random() < 0.6 else rng.choice([*ids, None, "-", "lost"])
+            rows.append((f"T{t}", rng.choice([s, s.upper(), f" {s}\t", f"\n{s}"]), up and rng.choice([up, up.upper(), f"{up}\t"])))
+        rows += [(f"t{t}", ids[0].upper(), None), (f"t{t}", ids[n // 2], ids[0])]
+    return rows
+
+
+def test_one_answer_whatever_the_limit(spark):
+    rng = random.Random(21)
+    df = spark.createDataFrame([(t, s, p, i, i, rng.randrange(5) or None) for i, (t, s, p) in enumerate(messy(rng, 17, 4))], "trace_id string, span_id string, parent_span_id string, row_id long, ingested_at long, start_ms long")
+    seen = []
+    for limit in (2, 7, 10**6):
+        all_ = [H.hierarchy(df, max_task_nodes=limit), H.descendants_of(df, max_task_nodes=limit), H.depth_first(df, "start_ms", max_task_nodes=limit), H.descendants(H.hierarchy(df), max_task_nodes=limit)]
+        seen.append([sorted(map(str, x.collect())) for x in all_])
+        assert seen[-1] == seen[0] and seen[-1][1] == seen[-1][3]
+    assert len(seen[0][0]) == 4 * 17 and any("cycle" in x for x in seen[0][0])
+
+
+def test_chain_beyond_a_task(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit("t").alias("trace_id"), F.concat(F.lit("n"), "id").alias("span_id"), F.when(F.col("id") > 0, F.concat(F.lit("N"), F.col("id") - 1)).alias("parent_span_id"), F.col("id").alias("row_id"), F.col("id").alias("ingested_at"))
+    tree = H.hierarchy(df, max_task_nodes=1000, paths=False)  # the paths of this chain have 5 billion elements
+    r = tree.agg(F.count("*"), F.sum("depth"), F.sum("subtree_size"), F.count_if(F.col("status") == "tree"), F.count_distinct("root_id")).first()
+    assert tuple(r) == (n, n * (n - 1) // 2, n * (n + 1) // 2, n, 1)
+
+
+def test_lists_are_complete_and_disjoint_sends():
+    rng = random.Random(2)
+    for n in (1, 2, 30):
+        parent = [rng.randrange(-1, n) for _ in range(n)]
+        want = set()
+        for i in range(n):
+            seen, j = [i], parent[i]
+            while j >= 0 and j not in seen:
+                want.add((j, i, len(seen)))
+                seen.append(j)
+                j = parent[j]
+        got = [(int(a), int(b), int(c)) for x, y, z in H.lists(np.array(parent)) for a, b, c in zip(x, y, z)]
+        assert len(got) == len(set(got)) and set(got) == want
