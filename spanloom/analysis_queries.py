@@ -252,9 +252,6 @@ def follow_labels(spark: SparkSession, d: str) -> DataFrame:
 
 # --- grounding -----------------------------------------------------------------------------------------------------------
 
-_NUM = r"(?i)(-?\d[\d,]*\.?\d*)\s*(k|m|bn|b|t)?\b"
-
-
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Every text of a trace, whatever its source."""
     return table(spark, d, "documents").where("trace_id is not null and text is not null and text <> ''").select("trace_id", "text")

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 #: Fixed value: characters of a hash that are kept.
 KEEP = 12
-#: The patterns that end a condition and that give a table an alias.
-_END = re.compile(r"\b(?:group by|order by|limit|having)\b")
-_ALIAS = re.compile(r"\b(from|join)\s+([a-z_][a-z0-9_]*)\s+(?:as\s+)?([a-z_][a-z0-9_]*)\b(?!\s*\()")
 #: Words that cannot be a table's alias.
 RESERVED = frozenset(("where", "group", "order", "limit", "on", "join", "left", "inner", "having"))
+#: A word or one other character, with the blanks before it.
+_TOKEN = re.compile(r"([\s\ufeff]*)([A-Za-z0-9_]+|[^A-Za-z0-9_\s\ufeff])")
+_NAME = re.compile(r"[a-z_][a-z0-9_]*")
 
 
 def trimmed(c: Column) -> Column:
@@ -33,53 +33,109 @@ def without_comments(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
 
 
-def conjuncts(text: str) -> list[str]:
+Token = tuple[str, str]  # the blank before a word (one or none), the word
+
+
+def lex(text: str) -> list[Token]:
+    return [(" " if gap else "", word) for gap, word in _TOKEN.findall(text)]
+
+
+def _text(tokens: list[Token]) -> str:
+    return "".join(gap + word for gap, word in tokens).strip()
+
+
+def _parts(tokens: list[Token]) -> list[list[Token]]:
     """The parts of a condition between ANDs outside brackets."""
-    parts, depth, begin = [], 0, 0
-    for m in re.finditer(r"[()]|\s+and\s+", text, re.I):
-        t = m.group()
-        if t == "(":
-            depth += 1
-        elif t == ")":
-            depth -= 1
-        elif depth == 0:
-            parts.append(text[begin : m.start()])
-            begin = m.end()
-    return [p.strip() for p in [*parts, text[begin:]] if p.strip()]
-
-
-def _clause(s: str, word: str, ends: re.Pattern, rewrite) -> str:
-    """Rewrite the body of the first ``word`` clause, up to the next clause of ``ends``."""
-    m = re.search(rf"\b{word}\b", s)
-    if not m:
-        return s
-    e = ends.search(s, m.end())
-    end = e.start() if e else len(s)
-    return f"{s[: m.start()]}{word} {rewrite(s[m.end() : end].strip())} {s[end:]}"
+    parts: list[list[Token]] = [[]]
+    depth = 0
+    for i, (gap, word) in enumerate(tokens):
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and word.lower() == "and" and gap and i + 1 < len(tokens) and tokens[i + 1][0]:
+            parts.append([])
+        else:
+            parts[-1].append((gap, word))
+    return [p for p in parts if p]
+
+
+def conjuncts(text: str) -> list[str]:
+    """The parts of a condition between ANDs outside brackets, as text."""
+    return [_text(p) for p in _parts(lex(text))]
+
+
+def _without_aliases(tokens: list[Token]) -> list[Token]:
+    """Table aliases left out, and their table's name put where they stand before a dot."""
+    kept: list[Token] = []
+    table_of: dict[str, str] = {}
+    i = 0
+    while i < len(tokens):
+        kept.append(tokens[i])
+        i += 1
+        if tokens[i - 1][1] not in ("from", "join") or i >= len(tokens) or not tokens[i][0] or not _NAME.fullmatch(tokens[i][1]):
+            continue
+        j = i + 1 + (tokens[i + 1 : i + 2] == [(" ", "as")])
+        gap, alias = tokens[j] if j < len(tokens) else ("", "")
+        called = tokens[j + 1][1] == "(" if j + 1 < len(tokens) else False
+        if gap and _NAME.fullmatch(alias) and alias not in RESERVED and not called:
+            table_of[alias] = tokens[i][1]
+            kept.append(tokens[i])
+            i = j + 1
+    dotted = [bool(x == ("", ".")) for x in kept[1:]] + [False]
+    return [(gap, table_of.get(word, word) if dot else word) for (gap, word), dot in zip(kept, dotted)]
+
+
+def _by_comma(body: list[Token]) -> str:
+    """Items between commas (those in brackets, too) in order."""
+    return ", ".join(sorted(x.strip() for x in _text(body).split(",")))
+
+
+#: How the body of a clause is written; bodies of other clauses stay as they are.
+_BODY = {"select": _by_comma, "where": lambda body: " and ".join(sorted(map(_text, _parts(body)))), "group by": _by_comma}
+
+
+def _clauses(tokens: list[Token]) -> list[tuple[str, str, list[Token]]]:
+    """(blank before, opening words, body) of the outermost clauses; "" opens what is left as it stands."""
+    out: list[tuple[str, str, list[Token]]] = [("", "", [])]
+    skip = False
+    for i, (gap, word) in enumerate(tokens):
+        if skip:
+            skip = False
+            continue
+        now, seen = out[-1][1], [o for _, o, _ in out]
+        two = f"{word} {tokens[i + 1][1]}" if i + 1 < len(tokens) and tokens[i + 1][0] else ""
+        if i == 0 and word == "select":
+            out.append((gap, "select", []))
+        elif now == "select":
+            out.append((gap, "from", [])) if word == "from" and gap else out[-1][2].append((gap, word))
+        elif word == "where" and "where" not in seen and "group by" not in seen:
+            out.append((gap, "where", []))
+        elif two == "group by" and two not in seen:
+            out.append((gap, two, []))
+            skip = True
+        elif now in ("where", "group by") and (word in ("limit", "having") or two == "order by"):
+            out.append((gap, "", [(gap, word)]))
+        else:
+            out[-1][2].append((gap, word))
+    return out
 
 
 def normalize(sql: str) -> str:
-    """Text normal form: no comments, one blank, lower case (literals too), no table aliases, sorted conjuncts and lists."""
-    s = re.sub(r"--[^\n]*", " ", re.sub(r"/\*.*?\*/", " ", sql, flags=re.S))
-    s = re.sub(r";$", "", " ".join(s.replace("﻿", " ").split())).lower()
-    names: dict[str, str] = {}
-
-    def unalias(m: re.Match) -> str:
-        if m[3] in RESERVED:
-            return m[0]
-        names[m[3]] = m[2]
-        return f"{m[1]} {m[2]}"
-
-    s = _ALIAS.sub(unalias, s)
-    for alias, name in names.items():
-        s = re.sub(rf"\b{re.escape(alias)}\.", f"{name}.", s)
-    comma = lambda x: ", ".join(sorted(p.strip() for p in x.split(",")))
-    s = _clause(s, "where", _END, lambda x: " and ".join(sorted(conjuncts(x))))
-    m = re.match(r"select\s+(.*?)\s+from\b", s)
-    if m:
-        s = f"select {comma(m[1])} from{s[m.end():]}"
-    s = _clause(s, "group by", re.compile(r"\b(?:order by|limit|having)\b"), comma)
-    return " ".join(s.split())
+    """Text normal form: no comments, one blank, lower case (literals too), no table aliases, sorted conjuncts and lists.
+
+    Literals are read like the rest of the text. The form is the text two statements must share to count as one, not a
+    statement that could be run: items are cut at every comma.
+    """
+    tokens = lex(re.sub(r"--[^\n]*", " ", re.sub(r"/\*.*?\*/", " ", sql, flags=re.S)).lower())
+    if tokens and tokens[-1][1] == ";":
+        tokens.pop()
+    clauses = _clauses(_without_aliases(tokens))
+    if clauses[-1][1] == "select":  # a list without FROM stays as it stands
+        return _text([("", "select"), *clauses[-1][2]])
+    out = ""
+    for n, (gap, opened, body) in enumerate(clauses):
+        after = n and clauses[n - 1][1] in _BODY
+        written = f"{opened} {_BODY[opened](body)}" if opened in _BODY else opened + "".join(g + w for g, w in body)
+        out += (" " if after else gap) + (written if opened else written.lstrip())
+    return " ".join(out.split())
 
 
 def _normalize_series(s: pd.Series) -> pd.Series:

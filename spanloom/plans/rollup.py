@@ -2,7 +2,7 @@
 
 Shapes are held as rows ``shape_id, table, measures, groupby, filters, eq_cols`` (:data:`SHAPES`); candidates likewise.
 :func:`distinct` folds equal shapes of a table of statements, with their number ``n``. The match of candidates and shapes is
-a join on what any match must share, with the whole test as array functions after it: the table, the filters that are no
+a join on what any match must share, with the whole test (every need of the shape met by an offer of the rollup) after it: the table, the filters that are no
 equalities (a rollup cannot add them later), one equality filter of the rollup, and one measure of the shape. Rollups and
 shapes that differ in table or such filters never meet, so the greedy choice falls into independent groups and runs in tasks;
 the edges of one group have to fit a task.
@@ -20,75 +20,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.plans.sqlplan import Shape
-from spanloom.session import cut
+from spanloom.session import cut, ship
 
 SHAPES = "shape_id long, table string, measures array<string>, groupby array<string>, filters array<string>, eq_cols array<string>"
 #: Functions whose result follows from a finer grouping by their argument.
 BUCKETING = ("date_trunc", "date", "to_char", "extract", "date_part")
 ADDITIVE = ("sum", "count", "min", "max")
-#: The patterns of a function key and of an equality on a column.
-_FUNCTION = r"^([a-z_]+)\(([^)]*)\)$"
+#: Fixed value: the pattern of an equality on a column.
 _EQUAL = r"^([a-z_][a-z0-9_]*)\s*="
 
 
 def frame(spark: SparkSession, shapes: Iterable[tuple[int, Shape]]) -> DataFrame:
+    ship(spark)
     return spark.createDataFrame([(i, s.table, list(s.measures), list(s.groupby), list(s.filters), list(s.eq_cols)) for i, s in shapes], SHAPES)
 
 
-# --- the test, on the driver ----------------------------------------------------------------------------------------
+# --- the test: what a rollup offers against what a query needs -------------------------------------------------------
 
-def servable(anchor: Shape, measure: str) -> bool:
-    """Whether a measure can be had from the anchor's rows."""
-    if measure.startswith("count(distinct "):
-        return measure in anchor.measures and not anchor.groupby
-    name, _, rest = measure.partition("(")
-    if name in ADDITIVE and measure in anchor.measures:
-        return True
-    return name == "avg" and f"sum({rest}" in anchor.measures and any(m.startswith("count(") and "distinct" not in m for m in anchor.measures)
+def offers(measures: Iterable[str], groupby: Iterable[str], filters: Iterable[str]) -> set[str]:
+    """Everything the rows of a rollup can stand in for: its additive measures, its dimensions, its filters.
 
+    Averages come from a sum beside a count; a count of distinct values only from a rollup of one row.
+    """
+    have, dims = set(measures), list(groupby)
+    name = {m: m.partition("(")[0] for m in have}
+    distinct = {m for m in have if m.startswith("count(distinct ")}
+    out = {m for m in have - distinct if name[m] in ADDITIVE} | (set() if dims else distinct)
+    if any(name[m] == "count" for m in have - distinct):
+        out |= {"avg" + m.removeprefix("sum") for m in have if name[m] == "sum"}
+    return {f"measure {m}" for m in out} | {f"dim {d}" for d in dims} | {f"filter {f}" for f in filters}
+
+
+def needs(measures: Iterable[str], groupby: Iterable[str], filters: Iterable[str]) -> list[list[str]]:
+    """What a query needs, each need as the list of offers that meet it.
 
-def derivable(anchor: Shape, dim: str) -> bool:
-    """Whether a group key can be had from the anchor's group keys."""
-    if dim in anchor.groupby:
-        return True
-    m = re.match(_FUNCTION, dim)
-    return bool(m) and m[1] in BUCKETING and any(a in anchor.groupby for a in (x.strip() for x in m[2].split(",")) if not a.startswith("'"))
+    A bucket of a dimension is met by the dimension; a filter by itself or, if it is an equality, by its column as a dimension.
+    """
+    out = [[f"measure {m}"] for m in measures]
+    for d in groupby:
+        name, bracket, inner = d.partition("(")
+        plain = bracket and name in BUCKETING and inner.endswith(")") and ")" not in inner[:-1]
+        columns = [x.strip() for x in inner[:-1].split(",")] if plain else []
+        out.append([f"dim {x}" for x in [d, *(c for c in columns if not c.startswith("'"))]])
+    for f in filters:
+        equality = re.match(_EQUAL, f)
+        out.append([f"filter {f}", *([f"dim {equality[1]}"] if equality else [])])
+    return out
 
 
 def subsumes(anchor: Shape, query: Shape) -> bool:
-    """Whether the query can be answered from the anchor."""
-    if anchor.table != query.table or not set(anchor.filters) <= set(query.filters):
-        return False
-    if not all(servable(anchor, m) for m in query.measures) or not all(derivable(anchor, g) for g in query.groupby):
-        return False
-    for f in query.filters:
-        if f not in anchor.filters:
-            m = re.match(_EQUAL, f)
-            if not m or m[1] not in anchor.groupby:
-                return False
-    return True
+    """Whether the query can be answered from the anchor: same table, no filter the query lacks, every need met."""
+    have = offers(anchor.measures, anchor.groupby, anchor.filters)
+    return anchor.table == query.table and set(anchor.filters) <= set(query.filters) and all(have.intersection(n) for n in needs(query.measures, query.groupby, query.filters))
 
 
-# --- the test, as columns -------------------------------------------------------------------------------------------
+def _offers_series(measures: pd.Series, groupby: pd.Series, filters: pd.Series) -> pd.Series:
+    return pd.Series([sorted(offers(*x)) for x in zip(measures, groupby, filters)], dtype=object)
+
+
+def _needs_series(measures: pd.Series, groupby: pd.Series, filters: pd.Series) -> pd.Series:
+    return pd.Series([needs(*x) for x in zip(measures, groupby, filters)], dtype=object)
 
-def subsumes_column(a: str = "a", q: str = "q") -> Column:
-    """The same test for a joined pair of struct columns."""
-    am, ag, af = F.col(f"{a}.measures"), F.col(f"{a}.groupby"), F.col(f"{a}.filters")
 
-    def one_measure(m: Column) -> Column:
-        distinct = m.startswith("count(distinct ")
-        plain = F.regexp_extract(m, r"^([a-z_]+)\(", 1).isin(*ADDITIVE) & F.array_contains(am, m)
-        avg = m.startswith("avg(") & F.array_contains(am, F.concat(F.lit("sum("), F.substring(m, 5, 1 << 20))) & F.exists(am, lambda x: x.startswith("count(") & ~x.contains("distinct"))
-        return F.when(distinct, F.array_contains(am, m) & (F.size(ag) == 0)).otherwise(plain | avg)
+def offers_column() -> Column:
+    """:func:`offers` of the columns measures, groupby and filters."""
+    return F.pandas_udf(_offers_series, "array<string>")("measures", "groupby", "filters")
 
-    def one_dim(d: Column) -> Column:
-        args = F.transform(F.split(F.regexp_extract(d, _FUNCTION, 2), ","), lambda x: F.trim(x))
-        return F.array_contains(ag, d) | (F.regexp_extract(d, _FUNCTION, 1).isin(*BUCKETING) & F.exists(args, lambda x: ~x.startswith("'") & F.array_contains(ag, x)))
 
-    extra = F.array_except(F.col(f"{q}.filters"), af)
-    return ((F.col(f"{a}.table") == F.col(f"{q}.table")) & F.forall(F.col(f"{q}.measures"), one_measure) & F.forall(F.col(f"{q}.groupby"), one_dim)
-            & (F.size(F.array_except(af, F.col(f"{q}.filters"))) == 0)
-            & F.forall(extra, lambda f: F.coalesce(F.array_contains(ag, F.regexp_extract(f, _EQUAL, 1)) & (F.regexp_extract(f, _EQUAL, 1) != ""), F.lit(False))))
+def needs_column() -> Column:
+    return F.pandas_udf(_needs_series, "array<array<string>>")("measures", "groupby", "filters")
+
+
+def subsumes_column(a: str = "a", q: str = "q") -> Column:
+    """The test for a joined pair of struct columns that hold ``table, filters, have`` (of the rollup) and ``table, filters, need``."""
+    return ((F.col(f"{a}.table") == F.col(f"{q}.table")) & (F.size(F.array_except(F.col(f"{a}.filters"), F.col(f"{q}.filters"))) == 0)
+            & F.forall(F.col(f"{q}.need"), lambda n: F.arrays_overlap(n, F.col(f"{a}.have"))))
 
 
 def candidates(shapes: DataFrame) -> DataFrame:
@@ -127,9 +133,9 @@ def edges(shapes: DataFrame) -> DataFrame:
     fixed, equal = F.array_sort(F.array_distinct(F.filter("filters", lambda f: ~is_equal(f)))), F.array_distinct(F.filter("filters", is_equal))
     need = F.transform("measures", lambda m: F.when(m.startswith("avg("), F.concat(F.lit("sum("), F.substring(m, 5, 1 << 20))).otherwise(m))
     none = F.array(F.lit(""))
-    a = pool(shapes).select("rank", F.col("table").alias("_t"), fixed.alias("_f"), _longest(equal).alias("_e"), F.struct("table", "measures", "groupby", "filters").alias("a"))
+    a = pool(shapes).select("rank", F.col("table").alias("_t"), fixed.alias("_f"), _longest(equal).alias("_e"), F.struct("table", "measures", "filters", offers_column().alias("have")).alias("a"))
     a = a.withColumn("_m", F.explode(F.array_union("a.measures", none)))
-    q = shapes.select("shape_id", F.col("n") if "n" in shapes.columns else F.lit(1).cast("long").alias("n"), F.col("table").alias("_u"), fixed.alias("_v"), _longest(need).alias("_w"), equal.alias("_x"), F.struct("table", "measures", "groupby", "filters").alias("q"))
+    q = shapes.select("shape_id", F.col("n") if "n" in shapes.columns else F.lit(1).cast("long").alias("n"), F.col("table").alias("_u"), fixed.alias("_v"), _longest(need).alias("_w"), equal.alias("_x"), F.struct("table", "filters", needs_column().alias("need")).alias("q"))
     q = q.withColumn("_x", F.explode(F.array_union("_x", none)))
     same = (F.col("_t") == F.col("_u")) & (F.col("_f") == F.col("_v")) & (F.col("_e") == F.col("_x")) & (F.col("_m") == F.col("_w"))
     return a.join(q, same & subsumes_column()).select("rank", "shape_id", "n", F.xxhash64("_u", "_v").alias("g"))

@@ -69,8 +69,8 @@ CASES = [
 
 
 def test_matching_both_ways(spark):
-    anchors = R.frame(spark, enumerate(c[0] for c in CASES)).select(F.col("shape_id").alias("i"), F.struct("table", "measures", "groupby", "filters").alias("a"))
-    queries = R.frame(spark, enumerate(c[1] for c in CASES)).select(F.col("shape_id").alias("i"), F.struct("table", "measures", "groupby", "filters").alias("q"))
+    anchors = R.frame(spark, enumerate(c[0] for c in CASES)).select(F.col("shape_id").alias("i"), F.struct("table", "filters", R.offers_column().alias("have")).alias("a"))
+    queries = R.frame(spark, enumerate(c[1] for c in CASES)).select(F.col("shape_id").alias("i"), F.struct("table", "filters", R.needs_column().alias("need")).alias("q"))
     got = {r["i"]: r["ok"] for r in anchors.join(queries, "i").select("i", R.subsumes_column().alias("ok")).collect()}
     for i, (a, q, want) in enumerate(CASES):
         assert R.subsumes(a, q) == want == got[i], CASES[i]
