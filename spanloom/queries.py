@@ -80,12 +80,13 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """First and last line of every record of severity error or worse."""
-    return logparse.entries(table(spark, d, "query_log"), messages=False).where(F.col("level").isin(*logparse.SEVERE)).select("log_id", "first_line", "last_line")
+    return logparse.entries(table(spark, d, "query_log")).where(F.col("level").isin(*logparse.SEVERE)).select("log_id", "first_line", "last_line")
 
 
 @query()
 def p3_entries(spark: SparkSession, d: str) -> DataFrame:
-    return logparse.entries(table(spark, d, "query_log"))
+    """Every record; lines that belong to none come as rows without layout and level."""
+    return logparse.entries(table(spark, d, "query_log"), unknown=True)
 
 
 # --- problem 5: a few keys hold most rows --------------------------------------------------------------------------

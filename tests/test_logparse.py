@@ -69,3 +69,40 @@ def test_prefix_is_compiled_from_the_setting():
     states = L.compile_prefix("%m [%p] %u@%d ")
     got = L.run(states, "2026-06-02 08:33:00.037 UTC [48] me@db ERROR:  x")
     assert (got["pid"], got["user"], got["db"], got["level"], got["message"]) == ("48", "me", "db", "ERROR", "x")
+
+
+def pieces(spark, df, parts, **k):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return sorted(tuple(r) for r in L.entries(df, **k).drop("ts").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+CSV = '2026-07-05 04:12:00.532 UTC,"loader","ledger",6934,"85",ERROR,00000,"canceled'
+FAKE = "2026-07-05 04:11:56.532 UTC [4121] LOG:  statement: select 1"
+
+
+def test_quoted_cells_hold_lines_that_look_like_records(spark):
+    end = FAKE + '",,"runner"'
+    logs = {"a": [CSV, "excerpt", FAKE, FAKE, end, CASES[0][0], "more", CSV + '",,"r"', FAKE, CSV, FAKE, CSV, FAKE, end, FAKE, "tail"], "b": [FAKE, CSV, *[FAKE] * 40, end, FAKE, CSV, *["x"] * 9], "c": ["lost", FAKE], "d": ["nothing", "known"]}
+    df = rows(spark, logs)
+    whole = pieces(spark, df, 1)
+    spans = {(r[0], r[1], r[2], r[3]) for r in whole}
+    assert {x for x in spans if x[0] == "a"} == {("a", 1, 5, "error"), ("a", 6, 7, "log"), ("a", 8, 8, "error"), ("a", 9, 9, "log"), ("a", 10, 11, "error"), ("a", 12, 14, "error"), ("a", 15, 16, "log")}
+    assert {x for x in spans if x[0] != "a"} == {("b", 1, 1, "log"), ("b", 2, 43, "error"), ("b", 44, 44, "log"), ("b", 45, 54, "error"), ("c", 2, 2, "log")}
+    for parts in (2, 5, 9, 23, 60):
+        assert pieces(spark, df, parts) == whole
+    lost = [r for r in pieces(spark, df, 1, unknown=True) if r[3] is None]
+    assert [(r[0], r[1], r[2], r[5]) for r in lost] == [("c", 1, 1, "lost"), ("d", 1, 2, "nothing\nknown")]
+    covered = sorted((r[0], i) for r in pieces(spark, df, 9, unknown=True) for i in range(r[1], r[2] + 1))
+    assert covered == sorted((g, i) for g, xs in logs.items() for i in range(1, len(xs) + 1))
+
+
+def test_prefixes_of_the_caller(spark):
+    prefixes = ["%m [%p] %q%u@%d/%i ", "%-6u|%b|%x %s "]
+    lines = ["2026-06-02 08:33:00.037 UTC [48] me@db/SELECT ERROR:  x", "2026-06-02 08:33:00.037 UTC [48] FATAL:  y", "bob   |client backend|771 2026-06-02 08:33:00 UTC PANIC:  z", "other"]
+    got = L.entries(rows(spark, {"l": lines}), prefixes=prefixes).orderBy("first_line").collect()
+    assert [(r["level"], r["message"], r["last_line"]) for r in got] == [("error", "x", 1), ("fatal", "y", 2), ("panic", "z\nother", 4)]
