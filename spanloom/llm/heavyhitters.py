@@ -5,7 +5,9 @@ signed counters) is kept; the sketches of all tasks add up. From the heavy prefi
 the next: only children of a prefix whose estimate can still reach the threshold are looked at. The hashes left at
 full length are the candidates; a second scan counts exactly the items with such a hash.
 
-Memory: ``levels * rows * width`` counters a task and on the driver, whatever the number of items. The error of an
+Memory: ``levels * rows * width`` counters a task and on the driver, whatever the number of items. The sketches of the tasks
+are added up in pieces of 1024 counters, first 64 ways, then to one, each sum taking one piece at a time, so no worker ever
+holds more than a batch of pieces, however many tasks there are. The error of an
 estimate is about ``sqrt(F2 / width)`` (median of the rows), F2 being the sum of squared counts without the items so
 heavy that they are alone in most of their counters. Items below the threshold share have ``F2 <= share * n**2``, so a
 width of ``36 / share`` keeps three deviations within half the threshold; the descent follows every prefix whose
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 #: Prefix lengths in bits, from the root down; a step is eight bits, so a heavy prefix has 256 children to look at.
 LEVELS = (8, 16, 24, 32, 40, 48, 56, 64)
 ROWS = 5
+#: Counters of a piece of a sketch, and sums a piece goes through on its way to one.
+PIECE, WAYS = 1024, 64
 
 
 def width_for(share: float) -> int:
@@ -44,34 +48,34 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def cells(prefix: np.ndarray, level: int, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counter and sign of each prefix in one hash row of one level."""
-    h = _mix(prefix, 64 * level + row)
+def cells(prefix: np.ndarray, level: int, row: int, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Counter and sign of each prefix in one hash row of one level; seed: another family of hash functions."""
+    h = _mix(prefix, 64 * level + row + 8192 * seed)
     return (h % np.uint64(width)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1).astype(np.int64)
 
 
-def sketch(items: np.ndarray, counts: np.ndarray, levels: tuple[int, ...], rows: int, width: int) -> np.ndarray:
+def sketch(items: np.ndarray, counts: np.ndarray, levels: tuple[int, ...], rows: int, width: int, seed: int = 0) -> np.ndarray:
     """The counters (level, row, counter) of items with their counts."""
     out = np.zeros((len(levels), rows, width), np.int64)
     for i, bits in enumerate(levels):
         prefix, at = np.unique(items >> np.uint64(64 - bits), return_inverse=True)
         n = np.bincount(at, weights=counts).astype(np.int64)
         for j in range(rows):
-            c, s = cells(prefix, bits, j, width)
+            c, s = cells(prefix, bits, j, width, seed)
             out[i, j] = np.bincount(c, weights=s * n, minlength=width).astype(np.int64)
     return out
 
 
-def estimate(table: np.ndarray, prefix: np.ndarray, bits: int) -> np.ndarray:
+def estimate(table: np.ndarray, prefix: np.ndarray, bits: int, seed: int = 0) -> np.ndarray:
     """Estimated counts of prefixes at one level: the median over the hash rows."""
     got = []
     for j in range(table.shape[0]):
-        c, s = cells(prefix, bits, j, table.shape[1])
+        c, s = cells(prefix, bits, j, table.shape[1], seed)
         got.append(s * table[j, c])
     return np.median(np.array(got), axis=0)
 
 
-def descend(sk: np.ndarray, threshold: float, levels: tuple[int, ...], slack: float) -> np.ndarray:
+def descend(sk: np.ndarray, threshold: float, levels: tuple[int, ...], slack: float, seed: int = 0) -> np.ndarray:
     """Full-length hashes whose every prefix may reach the threshold."""
     prefix = np.arange(1 << levels[0], dtype=np.uint64)
     before = levels[0]
@@ -81,7 +85,7 @@ def descend(sk: np.ndarray, threshold: float, levels: tuple[int, ...], slack: fl
             prefix = ((prefix[:, None] << np.uint64(step)) | np.arange(1 << step, dtype=np.uint64)[None, :]).ravel()
         # the usual size of a counter (robust against the heavy ones) is the noise of an estimate
         noise = 1.4826 * np.median(np.abs(sk[i]))
-        prefix = prefix[estimate(sk[i], prefix, bits) >= max(threshold / 2, slack * threshold - 3 * noise)]
+        prefix = prefix[estimate(sk[i], prefix, bits, seed) >= max(threshold / 2, slack * threshold - 3 * noise)]
         before = bits
     return prefix
 
@@ -108,30 +112,39 @@ def _sketch_partition(levels: tuple[int, ...], rows: int, width: int):
                 fold()
         fold()
         if n:
-            yield pd.DataFrame({"n": [n], "counters": [total.tobytes()]})
+            for piece, x in enumerate(total.reshape(-1, PIECE)):
+                yield pd.DataFrame({"piece": [piece], "n": [n if piece == 0 else 0], "counters": [x.tobytes()]})
     return go
 
 
-def _add(width_bytes: int):
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width_bytes // 8, np.int64)
-        for b in pdf["counters"]:
+_PIECES = "piece int, n long, counters binary"
+
+
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the pieces of a partition sorted by piece, one sum held at a time."""
+    now, n, total = None, 0, np.zeros(PIECE, np.int64)
+    for pdf in batches:
+        for piece, k, b in zip(pdf["piece"], pdf["n"], pdf["counters"]):
+            if piece != now and now is not None:
+                yield pd.DataFrame({"piece": [now], "n": [n], "counters": [total.tobytes()]})
+                n, total = 0, np.zeros(PIECE, np.int64)
+            now, n = piece, n + int(k)
             total += np.frombuffer(b, np.int64)
-        return pd.DataFrame({"n": [int(pdf["n"].sum())], "counters": [total.tobytes()]})
-    return go
+    if now is not None:
+        yield pd.DataFrame({"piece": [now], "n": [n], "counters": [total.tobytes()]})
 
 
 def build(df: DataFrame, item: str, levels: tuple[int, ...] = LEVELS, rows: int = ROWS, width: int = 8192) -> tuple[int, np.ndarray]:
-    """The sketch of a column and its number of non-null rows. Tasks' sketches are added up in two steps."""
+    """The sketch of a column and its number of non-null rows."""
     hashed = df.where(F.col(item).isNotNull()).select(F.xxhash64(F.col(item)).alias("h"))
-    parts = hashed.mapInPandas(_sketch_partition(levels, rows, width), "n long, counters binary")
-    size = len(levels) * rows * width * 8
-    some = parts.groupBy((F.spark_partition_id() % 16).alias("g")).applyInPandas(_add(size), "n long, counters binary")
-    n, total = 0, np.zeros((len(levels), rows, width), np.int64)
-    for r in some.toLocalIterator():  # at most 16 sketches of fixed size, one at a time
+    parts = hashed.mapInPandas(_sketch_partition(levels, rows, width), _PIECES).withColumn("way", F.spark_partition_id() % WAYS)
+    some = parts.repartition("piece", "way").drop("way").sortWithinPartitions("piece").mapInPandas(_add, _PIECES)
+    whole = some.repartition("piece").sortWithinPartitions("piece").mapInPandas(_add, _PIECES)
+    n, total = 0, np.zeros((len(levels) * rows * width // PIECE, PIECE), np.int64)
+    for r in whole.toLocalIterator():  # one sketch of fixed size
         n += r["n"]
-        total += np.frombuffer(r["counters"], np.int64).reshape(total.shape)
-    return n, total
+        total[r["piece"]] = np.frombuffer(r["counters"], np.int64)
+    return n, total.reshape(len(levels), rows, width)
 
 
 def heavy_hitters(

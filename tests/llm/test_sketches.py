@@ -104,3 +104,23 @@ def test_heavy_hitters_are_exact_after_the_second_scan(spark):
 def test_ties_and_numbers(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("x"))
     assert sorted((r["item"], r["n"]) for r in HH.heavy_hitters(df, "x", 0.1).collect()) == [(i, 100) for i in range(10)]
+
+
+def test_recall_over_hash_families():
+    """Every item above the threshold is found under 40 families of hash functions, over skewed items and ties."""
+    rng = np.random.default_rng(12)
+    n = np.concatenate([rng.integers(1, 30, 30_000), [1200] * 20, [1100] * 10, [30_000, 9000]]).astype(np.int64)
+    items = rng.integers(0, 2**63, len(n)).astype(np.uint64) * np.uint64(2)
+    share = 1200 / n.sum()  # twenty items exactly at the threshold
+    want = set(items[n >= share * n.sum()].tolist())
+    assert len(want) == 22
+    for seed in range(40):
+        sk = HH.sketch(items, n, HH.LEVELS, HH.ROWS, HH.width_for(share), seed)
+        assert want <= set(HH.descend(sk, share * n.sum(), HH.LEVELS, 0.8, seed).tolist())
+
+
+def test_sketches_of_many_tasks_add_up(spark):
+    df = spark.range(20_000).select((F.col("id") % 97).alias("x"))
+    n, one = HH.build(df.coalesce(1), "x", width=2048)
+    m, many = HH.build(df.repartition(150), "x", width=2048)
+    assert n == m == 20_000 and np.array_equal(one, many)
