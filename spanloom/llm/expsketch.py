@@ -8,12 +8,15 @@ interval. An identifier's values are made in ascending order (exponential spacin
 the hash), so an identifier stops as soon as it can lower no register: n identifiers cost about ``n + M ln M`` steps
 instead of ``n * M``.
 
-A part with at most ``SPARSE`` identifiers keeps their hashes instead of registers; merging two parts unites the hashes
-and turns them into registers when they grow beyond that. Such a count is exact (up to 64-bit collisions) and its
-interval is the count itself.
+A part with at most ``SPARSE`` identifiers keeps their hashes instead of registers: the registers follow from the hashes, so
+nothing is lost, and up to that number the hashes are the smaller form of the two. Merging two parts unites the hashes and
+turns them into registers when they grow beyond it. The count of a part that still has its hashes is their number, exact up to
+64-bit collisions, and its interval is the count itself.
 
-Rows are spread over tasks by day, a day of many rows over as many tasks as it needs, so no day, group or identifier is
-a hot spot; a task makes the sketches of all grouping sets at once, and parts of one group are merged by their registers.
+Rows go to tasks by day. A day of many rows is spread over as many tasks as it needs by one of the group columns
+(``spread``), and a heavy value of that column by the identifier. A cell that lies in one task as a whole (its day was not
+spread, or its value of the spread column was not) is counted there; all others are parts, merged by minimum over the tasks.
+So few parts are sent, no day, group or identifier is a hot spot, and how many tasks there are follows from the cluster.
 
 Defined results: null identifiers are not counted; null group values form a group of their own (``null`` with its
 grouping marked in ``grouping``); rows without a day have day null; an empty table gives no rows.
@@ -27,10 +30,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import cut
+from spanloom.session import cut, tasks
 
 M, SPARSE = 1024, 512
 _BITS = 10  # log2(M)
@@ -186,7 +189,7 @@ def _counts(n: int, dense: np.ndarray | None) -> tuple[float, float, float, bool
 
 def partials(pairs: DataFrame) -> DataFrame:
     """Mergeable parts (PART) of pairs ``g, h`` (group number, 64-bit hash): one a task and group, without a shuffle."""
-    return pairs.sortWithinPartitions("g").mapInPandas(_fold, PART)
+    return pairs.where("h is not null").sortWithinPartitions("g").mapInPandas(_fold, PART)
 
 
 def merge(parts: DataFrame) -> DataFrame:
@@ -218,8 +221,15 @@ def _number(labels: pd.DataFrame) -> np.ndarray:
     return pd.util.hash_pandas_object(labels.fillna("\0null"), index=False).to_numpy().view(np.int64)
 
 
-def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, ...]]], whole: bool):
-    """Sketches of all grouping sets of the rows of one task (a bounded share of the rows of its days)."""
+#: Where the rows of a task come from: a whole day, a day spread by the spread column, a heavy value spread by identifier.
+WHOLE, SPREAD, SPLIT = 0, 1, 2
+
+
+def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, ...]]], spread_by: str | None):
+    """Sketches of all grouping sets of the rows of one task (a bounded share of the rows of its days).
+
+    Cells that no other task can hold a part of come with their count, others with their part.
+    """
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(batches)
         if not held:
@@ -232,12 +242,15 @@ def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, .
             code, values = pd.factorize(pdf[c])
             codes[c] = np.where(code < 0, len(values), code)
             names[c] = np.append(np.asarray(values, dtype=object), None)
+        how = pdf["_how"].to_numpy(np.int64)
         for n, item in enumerate(items):
-            ok = pdf[f"h{n}"].notna().to_numpy()
-            h = pdf[f"h{n}"].to_numpy()[ok].astype(np.int64).view(np.uint64)
+            h = pdf[f"h{n}"].to_numpy(np.int64)
+            ok = h != 0
+            h = h[ok].view(np.uint64)
             mine = [s for m, s in sets if m == n]
             used = ["day", *[c for c in cols if any(c in s for s in mine)]]
             base = {c: codes[c][ok] for c in used}
+            came = how[ok]
             for s in sorted(mine, key=lambda s: -len(s)):
                 group = np.zeros(len(h), np.int64)
                 for c in ("day", *s):
@@ -268,27 +281,43 @@ def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, .
                 for c in cols:
                     out[c] = names[c][base[c][first]] if c in s else None
                 out["item"] = item
-                if whole:
-                    est = [np.array(count, float), np.array(count, float), np.array(count, float)]
-                    exact = np.ones(len(at), bool)
-                    for c, r in dense.items():
-                        *v, _ = _counts(0, r)
-                        exact[c] = False
-                        for a, b in zip(est, v):
-                            a[c] = b
-                    out["estimate"], out["low"], out["high"], out["exact"] = *est, exact
-                else:
-                    out["g"] = _number(out[["day", "grouping", *cols, "item"]].astype(object))
+                done = came[first] <= (SPREAD if spread_by in s else WHOLE)
+                est = [np.array(count, float), np.array(count, float), np.array(count, float)]
+                exact = np.ones(len(at), bool)
+                for c, r in dense.items():
+                    *v, _ = _counts(0, r)
+                    exact[c] = False
+                    for a, b in zip(est, v):
+                        a[c] = b
+                out["estimate"], out["low"], out["high"] = (np.where(done, e, np.nan) for e in est)
+                out["exact"] = exact
+                out["done"] = done
+                out["g"], out["hashes"], out["regs"] = np.int64(0), None, None
+                open_ = np.flatnonzero(~done)
+                if len(open_):
                     ends = np.append(at, len(g))
-                    out["hashes"] = pd.Series([None if c in dense else x[ends[c] : ends[c + 1]].tobytes() for c in range(len(at))], dtype=object)
-                    out["regs"] = pd.Series([dense[c].tobytes() if c in dense else None for c in range(len(at))], dtype=object)
+                    parts = out.iloc[open_][["day", "grouping", *cols, "item"]].astype(object)
+                    out.loc[open_, "g"] = _number(parts)
+                    hashes, regs = np.full(len(at), None, object), np.full(len(at), None, object)
+                    for c in open_:
+                        if c in dense:
+                            regs[c] = dense[c].tobytes()
+                        else:
+                            hashes[c] = x[ends[c] : ends[c + 1]].tobytes()
+                    out["hashes"], out["regs"] = hashes, regs
                 for lo in range(0, len(out), 20_000):
                     yield out.iloc[lo : lo + 20_000]
                 if len(s) == max(map(len, mine)) and len(mine) > 1 and set(s) == set(used) - {"day"}:
-                    base, h = {c: v[order] for c, v in base.items()}, x  # coarser sets need each pair of a cell once
+                    base, h, came = {c: v[order] for c, v in base.items()}, x, came[order]  # coarser sets need each pair of a cell once
     return go
 
 
+def _hash(c: Column) -> Column:
+    """64 bits of an identifier; 0 for none (nulls would make the column one of floats, which hold 53 bits)."""
+    h = F.xxhash64(c)
+    return F.when(c.isNull(), 0).when(h == 0, 1).otherwise(h).cast("long")
+
+
 def spread(days: list[tuple[object, int]], target: int) -> tuple[list[tuple[object, int, int]], int]:
     """(day, first task, tasks) so that no task gets much more than ``target`` rows; small days share a task."""
     out, at, room = [], 0, 0
@@ -308,42 +337,48 @@ def spread(days: list[tuple[object, int]], target: int) -> tuple[list[tuple[obje
     return out, at + (room > 0)
 
 
-def distinct_counts(df: DataFrame, day: str, items: Sequence[str], by: Sequence[str], alone: Sequence[str] = (), target: int = 150_000) -> DataFrame:
+def distinct_counts(
+    df: DataFrame, day: str, items: Sequence[str], by: Sequence[str], alone: Sequence[str] = (), target: int | None = None, spread_by: str | None = None,
+) -> DataFrame:
     """Distinct items per day and every combination of ``by``, and per day and each column of ``alone``.
 
     An item that is itself a column of ``by`` is counted by the combinations of the others: within one of its own values
     there is one of it.
 
-    Rows go to tasks by day, a day of more than ``target`` rows to several; each task makes the sketches of all grouping
-    sets of its rows. Days kept whole are done then; the parts of the others are merged by group.
+    target: rows a task gets about; without it four tasks for each reduce task of the session share the rows, at most a
+    million each. spread_by: the column of ``by`` whose values a large day is spread by, best the one with most (default: the first).
 
     Result: ``day, grouping`` (names of the columns grouped by), the group columns as strings, ``item`` (name of the
     counted column), ``estimate, low, high`` (95 % interval), ``exact``.
     """
     spark = df.sparkSession
     cols = [*by, *[a for a in alone if a not in by]]
+    spread_by = spread_by or (by[0] if by else None)
     sets = [(n, s) for n, i in enumerate(items) for s in grouping_sets([c for c in by if c != i])] + [(n, (a,)) for a in alone for n, i in enumerate(items) if i != a and a not in by]
-    rows = df.select(F.col(day).alias("day"), *[F.col(c).cast("string").alias(c) for c in cols], *[F.when(F.col(i).isNotNull(), F.xxhash64(F.col(i))).alias(f"h{n}") for n, i in enumerate(items)])
-    days = sorted(((r["day"], r["n"]) for r in df.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: str(x[0]))  # one row a day
+    rows = df.select(F.col(day).alias("day"), *[F.col(c).cast("string").alias(c) for c in cols], *[_hash(F.col(i)).alias(f"h{n}") for n, i in enumerate(items)])
+    value = F.col(spread_by).cast("string") if spread_by else F.lit(None).cast("string")
+    load = cut(df.groupBy(F.col(day).alias("day"), value.alias("v")).agg(F.count(F.lit(1)).alias("n")), name="load")  # a row a day and value, read twice
+    days = sorted(((r["day"], r["n"]) for r in load.groupBy("day").agg(F.sum("n").alias("n")).collect()), key=lambda x: str(x[0]))  # one row a day
+    if target is None:
+        target = max(1, min(1_000_000, math.ceil(sum(n for _, n in days) / (4 * tasks(spark)))))
     placed, n_tasks = spread(days, target)
     kind = df.schema[day].dataType.simpleString()
     keys = ", ".join(f"{c} string" for c in cols)
     final = f"day {kind}, grouping string, {keys}, item string, estimate double, low double, high double, exact boolean"
-    part = f"day {kind}, grouping string, {keys}, item string, g long, hashes binary, regs binary"
     if not placed:
         return spark.createDataFrame([], final)
-
-    def tasks_of(some: list[tuple[object, int, int]]) -> DataFrame:
-        first = min(p[1] for p in some)
-        at = spark.createDataFrame([(d, a - first, k) for d, a, k in some], f"_d {kind}, _a int, _k int")
-        n = max(a + k for _, a, k in some) - first
-        to = (F.col("_a") + F.pmod(F.monotonically_increasing_id(), F.col("_k"))).cast("int")
-        return rows.join(F.broadcast(at), F.col("day").eqNullSafe(F.col("_d"))).withColumn("_to", to).drop("_d", "_a", "_k").repartitionById(n, "_to").drop("_to")  # a row a day
-
-    small, large = [p for p in placed if p[2] == 1], [p for p in placed if p[2] > 1]
-    out = tasks_of(small).mapInPandas(_cells(cols, list(items), sets, True), final) if small else spark.createDataFrame([], final)
-    if large:
-        parts = cut(tasks_of(large).mapInPandas(_cells(cols, list(items), sets, False), part), name="sketches")
-        names = parts.select("g", "day", "grouping", *cols, "item").dropDuplicates(["g"])
-        out = out.unionByName(names.join(estimate(parts), "g").drop("g"))
-    return out
+    at = spark.createDataFrame(placed, f"_d {kind}, _a int, _k int")  # a row a day
+    heavy = load.where(F.col("n") > target / 2).select(F.col("day").alias("_hd"), F.col("v").alias("_hv"), F.lit(True).alias("_heavy"))  # at most 2 * rows / target
+    x = rows.join(F.broadcast(at), F.col("day").eqNullSafe(F.col("_d")))
+    x = x.join(F.broadcast(heavy), F.col("day").eqNullSafe(F.col("_hd")) & (F.col(spread_by) if spread_by else F.lit(None).cast("string")).eqNullSafe(F.col("_hv")), "left")
+    how = F.when(F.col("_k") == 1, WHOLE).when(F.col("_heavy").isNull(), SPREAD).otherwise(SPLIT)
+    to = F.when(how == WHOLE, 0).when(how == SPREAD, F.pmod(F.xxhash64(F.lit("spread"), spread_by or F.lit(0)), F.col("_k"))).otherwise(F.pmod(F.xxhash64(F.lit("split"), *[f"h{n}" for n in range(len(items))]), F.col("_k")))
+    sent = x.select("day", *cols, *[f"h{n}" for n in range(len(items))], how.cast("int").alias("_how"), (F.col("_a") + to).cast("int").alias("_to")).repartitionById(n_tasks, "_to").drop("_to")
+    cells = sent.mapInPandas(_cells(cols, list(items), sets, spread_by), f"{final}, done boolean, g long, hashes binary, regs binary")
+    result = [c.split(" ")[0] for c in final.split(", ")]
+    if all(k == 1 for _, _, k in placed):
+        return cells.select(*result)
+    cells = cut(cells, name="sketches")
+    parts = cells.where("not done")
+    names = parts.select("g", "day", "grouping", *cols, "item").dropDuplicates(["g"])
+    return cells.where("done").select(*result).unionByName(names.join(estimate(parts), "g").drop("g"))
