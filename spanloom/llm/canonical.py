@@ -2,9 +2,9 @@
 
 Every statement is brought to one canonical form (:func:`canonical`). Canonical records are then range-partitioned by
 (form, row id), sorted within the partition (Spark's external sort spills, so no partition must fit memory) and scanned
-once: adjacent records with the same full form are one run. The range includes the row id, so a form that holds a third
-of all rows is spread over as many partitions as its size asks for; a run that crosses partition edges is joined up from
-one summary row a partition.
+once: adjacent records with the same full form are one run, and the scan counts it. The range includes the row id, so a form
+that holds a third of all rows is spread over as many partitions as its size asks for; a run that crosses partition edges
+is joined up from two rows a partition, in a task, so no statement goes to the driver.
 
 What the canonical form ignores: white space of any kind, letter case (of literals, too), a closing semicolon, quotes
 around identifiers, the shape of quotation marks and other punctuation, brackets around a whole conjunct or item, and
@@ -21,10 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import cut
@@ -159,7 +160,9 @@ def canonical(sql: str) -> str:
 
 
 def _canonical_series(s: pd.Series) -> pd.Series:
-    return s.map(canonical, na_action="ignore")
+    code, texts = pd.factorize(s)  # a statement that comes again in a batch is read once
+    forms = np.array([canonical(t) for t in texts] + [None], dtype=object)
+    return pd.Series(forms[code], index=s.index)
 
 
 def canonical_of(c: Column) -> Column:
@@ -168,55 +171,79 @@ def canonical_of(c: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: each record with the first row id of its run here; run 0 and the last run are told apart.
+    """A sorted partition: each record with the number of its run and the first row id of the run here; last: the run's last record here, with ``upto`` records of it.
 
-    Full keys are compared, neighbour with neighbour.
+    Full keys are compared, neighbour with neighbour; run 0 and the last run may go on in the neighbouring partitions.
     """
-    last: str | None = None
-    first, run = None, -1
+    held: pa.RecordBatch | None = None  # the last record, until it is known whether its run goes on
+    first, run, length = 0, -1, 0
     for b in batches:
         if not b.num_rows:
             continue
-        form, rid = b.column("form"), b.column("rid").to_pylist()
-        same = pc.equal(form.slice(1), form.slice(0, b.num_rows - 1)).to_pylist()
-        here = [run >= 0 and form[0].as_py() == last, *same]
-        part = b.column("part")[0].as_py()
-        firsts, runs = [], []
-        for i, again in enumerate(here):
-            if not again:
-                run += 1
-                first = rid[i]
-            firsts.append(first)
-            runs.append(run)
-        last = form[b.num_rows - 1].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array([part] * b.num_rows, pa.int32()), pa.array(runs, pa.int64()), pa.array(firsts, pa.int64()), pa.array(rid, pa.int64()), form], ["part", "run", "first_here", "rid", "form"])
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        form, rid = b.column("form"), b.column("rid").to_numpy()
+        n = b.num_rows
+        new = np.ones(n, bool)
+        new[1:] = ~pc.equal(form.slice(1), form.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        if held is None:
+            run, length = run + 1, 0
+        new[0] = False
+        number = run + np.cumsum(new)
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        firsts = np.where(number == run, first if held is not None else rid[0], rid[start])
+        upto = np.arange(n) - start + 1 + np.where(number == run, max(length - 1, 0), 0)
+        yield _run_rows(b, n - 1, number, firsts, upto, np.append(new[1:], False))
+        first, run, length = int(firsts[-1]), int(number[-1]), int(upto[-1])
+        held = b.slice(n - 1)
+    if held is not None:
+        yield _run_rows(held, 1, np.array([run]), np.array([first]), np.array([length]), np.array([True]))
+
+
+def _run_rows(b: pa.RecordBatch, n: int, number: np.ndarray, firsts: np.ndarray, upto: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [b.column("part").slice(0, n), pa.array(number[:n], pa.int64()), pa.array(firsts[:n], pa.int64()), b.column("rid").slice(0, n), b.column("form").slice(0, n), pa.array(upto[:n], pa.int64()), pa.array(last[:n])],
+        ["part", "run", "first_here", "rid", "form", "upto", "last"])
+
+
+RUNS = "part int, run long, first_here long, rid long, form string, upto long, last boolean"
+
+
+def _scanned(df: DataFrame, text: str, row_id: str) -> DataFrame:
+    """The records in order of their forms, scanned (RUNS)."""
+    rows = df.where(F.col(text).isNotNull()).select(canonical_of(F.col(text)).alias("form"), F.col(row_id).cast("long").alias("rid"))
+    rows = cut(rows, name="canonical")  # forms are made once: sampling for the ranges reads them a second time
+    ordered = rows.repartitionByRange("form", "rid").sortWithinPartitions("form", "rid").withColumn("part", F.spark_partition_id())
+    return cut(ordered.mapInArrow(_runs, RUNS), name="runs")
+
+
+def _carried(scanned: DataFrame) -> DataFrame:
+    """Runs that touch a partition's edge and go on from one of an earlier partition: ``part, run, begun`` (row id the run began with)."""
+    ends = scanned.where("last").groupBy("part").agg(F.max("run").alias("_most"))
+    edge = scanned.where("last").join(ends, "part").where("run = 0 or run = _most").select("part", "run", "_most", "form", "first_here")
+    order = Window.orderBy("part", "run")  # two rows a partition
+    before = edge.withColumns({"_form": F.lag("form").over(order), "_part": F.lag("part").over(order)})
+    joins = (F.col("run") == 0) & (F.col("_part") < F.col("part")) & (F.col("_form") == F.col("form"))
+    chain = before.select("part", "run", "first_here", F.coalesce(joins, F.lit(False)).alias("goes_on"))
+    begun = F.last(F.when(~F.col("goes_on"), F.col("first_here")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return chain.withColumn("begun", begun).where("goes_on").select("part", "run", "begun")
 
 
 def runs(df: DataFrame, text: str = "sql_text", row_id: str = "row_id") -> DataFrame:
     """Every record with its group: ``form, first_row_id, row_id``. first_row_id is the smallest of the group."""
-    rows = df.where(F.col(text).isNotNull()).select(canonical_of(F.col(text)).alias("form"), F.col(row_id).cast("long").alias("rid"))
-    rows = cut(rows, name="canonical")  # forms are made once: sampling for the ranges reads them a second time
-    ordered = rows.repartitionByRange("form", "rid").sortWithinPartitions("form", "rid").withColumn("part", F.spark_partition_id())
-    scanned = cut(ordered.mapInArrow(_runs, "part int, run long, first_here long, rid long, form string"), name="runs")
-    # where a partition's first run began: one row a partition, so this stays small
-    edge = scanned.groupBy("part").agg(
-        F.min_by("form", F.struct("run", "rid")).alias("first_form"), F.min_by("first_here", F.struct("run", "rid")).alias("first_id"),
-        F.max_by("form", F.struct("run", "rid")).alias("last_form"), F.max_by("first_here", F.struct("run", "rid")).alias("last_id"),
-        F.max("run").alias("last_run")).collect()
-    carried: dict[int, int] = {}
-    form, begun = None, None
-    for e in sorted(edge, key=lambda e: e["part"]):
-        if e["first_form"] == form:
-            carried[e["part"]] = begun
-        if e["last_run"] > 0 or e["first_form"] != form:
-            form, begun = e["last_form"], e["last_id"]
-    whole = scanned
-    if carried:
-        at = df.sparkSession.createDataFrame(list(carried.items()), "part int, begun long")  # at most a row a partition
-        whole = scanned.join(F.broadcast(at), (scanned["part"] == at["part"]) & (F.col("run") == 0), "left").withColumn("first_here", F.coalesce("begun", "first_here"))
-    return whole.select("form", F.col("first_here").alias("first_row_id"), F.col("rid").alias("row_id"))
-
-
-def representatives(grouped: DataFrame) -> DataFrame:
-    """One record a group: ``first_row_id, form, copies`` (rows of the group, the first included)."""
-    return grouped.groupBy("first_row_id").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("copies"))
+    scanned = _scanned(df, text, row_id)
+    at = cut(_carried(scanned), name="carried")  # at most a row a partition
+    whole = scanned.join(at, ["part", "run"], "left")
+    return whole.select("form", F.coalesce("begun", "first_here").alias("first_row_id"), F.col("rid").alias("row_id"))
+
+
+def representatives(df: DataFrame, text: str = "sql_text", row_id: str = "row_id") -> DataFrame:
+    """One record a group: ``first_row_id, form, copies`` (rows of the group, the first included).
+
+    The scan has counted its runs; only runs that cross a partition's edge are added up, so rows are not shuffled again.
+    """
+    scanned = _scanned(df, text, row_id).where("last")  # a row a run and partition
+    at = cut(_carried(scanned), name="carried")
+    whole = scanned.join(at, ["part", "run"], "left").select("form", F.coalesce("begun", "first_here").alias("first_row_id"), "upto", F.col("begun").isNotNull().alias("_on"))
+    crossing = whole.where("_on").groupBy("first_row_id").agg(F.sum("upto").alias("_more"))  # at most a row a partition
+    return whole.where("not _on").join(crossing, "first_row_id", "left").select("first_row_id", "form", (F.col("upto") + F.coalesce("_more", F.lit(0))).alias("copies"))

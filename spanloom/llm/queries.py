@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p2_statements(spark: SparkSession, d: str) -> DataFrame:
     """One record a statement with its number of copies."""
-    return canonical.representatives(canonical.runs(table(spark, d, "spans")))
+    return canonical.representatives(table(spark, d, "spans"))
 
 
 # --- problem 4: distinct counts ------------------------------------------------------------------------------------

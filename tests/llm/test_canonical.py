@@ -48,7 +48,7 @@ def test_groups_over_partitions_with_a_hot_form(spark):
     try:
         got = C.runs(df)
         assert {(r["first_row_id"], r["row_id"]) for r in got.collect()} == {(min(v), x) for v in want.values() for x in v}
-        reps = {r["first_row_id"]: r["copies"] for r in C.representatives(got).collect()}
+        reps = {r["first_row_id"]: r["copies"] for r in C.representatives(df).collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert reps == {min(v): len(v) for v in want.values()}
