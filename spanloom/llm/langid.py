@@ -75,6 +75,7 @@ _SQL_FIRST = frozenset("with select insert update delete create drop alter from
 _LOG_FIRST = frozenset("log error fatal panic warning notice debug debug1 debug2 debug3 debug4 debug5 info detail hint statement context traceback file at".split())
 _ODD = re.compile(r"[0-9_=/\\@`]")
 _WORD = re.compile(r"[^\W\d_]+")
+_ALNUM = re.compile(r"[^\W_]")
 _SIGNS = re.compile(r"[0-9*#|~^<>{}\[\]\"“”„«»()=+]+")
 
 
@@ -83,7 +84,7 @@ def _pairs(line: str) -> bool:
     some = False
     for t in line.split():
         key, sign, _ = t.partition("=")
-        if not any(c.isalnum() for c in t[:400]):
+        if not _ALNUM.search(t):
             continue
         if not sign or not _KEY.fullmatch(key.strip("`*_-•>[]()\"'")):
             return False
@@ -144,7 +145,8 @@ def sentences(text: str) -> list[str]:
                 if "=" in s and _pairs(s):
                     continue
                 s = " ".join([_plain(w) if _ODD.search(w) else w for w in (_TICKS.sub(" ", s) if "`" in s else s).split()])
-            if s[:12].lower().find("cited") >= 0 and _CITED.match(s):
+            m = _FIRST.match(s)
+            if m and m[1].lower() == "cited" and _CITED.match(s):
                 continue
             t = " ".join(_SIGNS.sub(" ", s).lower().split())
             if _wordy(t):
@@ -396,8 +398,8 @@ def smooth(lp: np.ndarray) -> np.ndarray:
 SEGMENTS = "doc_id long, segment int, lang string, confidence double, sentences int, chars int"
 
 
-def segments(df: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of every document: ``doc_id, segment, lang, confidence, sentences, chars`` (chars of prose scored)."""
+def segments(df: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", label: Column | None = None) -> DataFrame:
+    """Segments of every document: ``doc_id, segment, lang, confidence, sentences, chars`` (chars of prose scored); with a label, ``label`` as well."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # about 60 kB
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -405,19 +407,21 @@ def segments(df: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", t
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                docs = [(i, sentences(t)) for i, t in zip(part["k"], part["t"]) if isinstance(t, str)]
-                docs = [(i, s) for i, s in docs if s]
-                score = scorer.scores([s for _, ss in docs for s in ss])
+                docs = [(i, sentences(t), l) for i, t, l in zip(part["k"], part["t"], part["l"]) if isinstance(t, str)]
+                docs = [x for x in docs if x[1]]
+                score = scorer.scores([s for _, ss, _ in docs for s in ss])
                 out = []
-                for i, ss in docs:
+                for i, ss, l in docs:
                     p = smooth(np.stack([score[s] for s in ss]).astype(float))
                     best = p.argmax(axis=1)
                     edges = [0, *(np.flatnonzero(np.diff(best)) + 1), len(ss)]
                     for n, (a, b) in enumerate(zip(edges, edges[1:])):
-                        out.append((i, n, LANGS[best[a]], float(p[a:b, best[a]].mean()), int(b - a), sum(map(len, ss[a:b]))))
-                yield pd.DataFrame(out, columns=["doc_id", "segment", "lang", "confidence", "sentences", "chars"])
+                        out.append((i, n, LANGS[best[a]], float(p[a:b, best[a]].mean()), int(b - a), sum(map(len, ss[a:b])), l))
+                yield pd.DataFrame(out, columns=["doc_id", "segment", "lang", "confidence", "sentences", "chars", "label"])
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null and k is not null").mapInPandas(go, SEGMENTS)
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.lit(None) if label is None else label).cast("string").alias("l")).where("t is not null and k is not null")
+    out = rows.mapInPandas(go, SEGMENTS + ", label string")
+    return out if label is not None else out.drop("label")
 
 
 def languages(seg: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, canonical, expsketch, heavyhitters, langid, mixing
@@ -99,17 +99,16 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 # --- problem 9: languages ------------------------------------------------------------------------------------------
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
+def _segments(spark: SparkSession, d: str, label: Column | None = None) -> DataFrame:
     documents = table(spark, d, "documents")
-    return langid.segments(documents, langid.fit(table(spark, d, "lang_samples"), documents))
+    return langid.segments(documents, langid.fit(table(spark, d, "lang_samples"), documents), label=label)
 
 
 @query()
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the documents whose label is missing or wrong or whose text is in several languages."""
-    docs = table(spark, d, "documents").select("doc_id", langid.label_column(F.col("lang")).alias("label"))
-    per = _segments(spark, d).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"))  # at most eleven a document
-    bad = per.join(docs, "doc_id").where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label")))
+    per = _segments(spark, d, langid.label_column(F.col("lang"))).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.first("label").alias("label"))  # at most eleven a document
+    bad = per.where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label")))
     return bad.select("doc_id", F.explode("langs").alias("lang"))
 
 

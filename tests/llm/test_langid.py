@@ -91,3 +91,10 @@ def test_long_runs_end_in_time(text):
     began = time.time()
     L.sentences(text)
     assert time.time() - began < 5
+
+
+def test_no_prefix_decides():
+    """A long run of marks before the first letter, or before CITED, changes nothing."""
+    marks = "*" * 900
+    assert L.sentences(f"{marks}total=5 {marks}n=6") == []
+    assert L.sentences("The answer is in the second table. " + "#" * 60 + " CITED: q1 and q2 and q3 of it.") == ["the answer is in the second table."]
