@@ -2,9 +2,9 @@
 
 1. Load: rows per key, counted with map-side combine (each task sends one row a key); for per-key results the rows are
    the pairs of key and item with their counts, so neither a hot pair nor null items of a heavy key weigh on one task.
-2. Plan: keys above a fraction of a task's fair share are split into shards in proportion to their load and packed
-   onto the least loaded tasks (longest first); all other keys stay where their hash puts them, and the load they
-   bring is the starting load of the bins. The plan has at most ``5 * tasks`` shards, whatever the data.
+2. Plan: keys above a tenth of a task's fair share are split into shards of at most half a share, in proportion to their
+   load, and packed onto the least loaded tasks (longest first); all other keys stay where their hash puts them, and the
+   load they bring is the starting load of the bins. The plan has at most ``12 * tasks`` shards, whatever the data.
 3. Route: a row goes to its key's shard by the hash of its item, so equal items of a key meet in one shard and
    distinct counts of the shards add up. Rows are sent straight to the planned task.
 4. A matching side is replicated only to the planned tasks of its key's shards (:func:`fragment_replicate_join`).
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, tasks
 
-#: A key is placed by the plan when it holds more than this part of a task's fair share.
-HEAVY = 0.25
+#: A key is placed by the plan when it holds more than this part of a task's fair share; the most of a share one shard holds.
+HEAVY, SHARD = 0.1, 0.5
 
 
 def pack(heavy: list[tuple[object, int]], light: list[int], capacity: float) -> dict[object, list[int]]:
@@ -47,7 +47,7 @@ def pack(heavy: list[tuple[object, int]], light: list[int], capacity: float) ->
 
 
 def plan(df: DataFrame, key: str, n_tasks: int) -> tuple[DataFrame, int]:
-    """The placement table ``_key, _shards, _places`` of the heavy keys (at most 4 * tasks rows), and all rows' count."""
+    """The placement table ``_key, _shards, _places`` of the heavy keys (at most tasks / HEAVY rows), and all rows' count."""
     spark = df.sparkSession
     load = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
     load = cut(load.withColumn("_home", F.pmod(F.xxhash64("_key"), F.lit(n_tasks)).cast("int")), name="load")  # a row a key, read three times
@@ -58,23 +58,28 @@ def plan(df: DataFrame, key: str, n_tasks: int) -> tuple[DataFrame, int]:
     light = [0] * n_tasks
     for r in load.where(F.col("n") <= HEAVY * capacity).groupBy("_home").agg(F.sum("n").alias("n")).collect():
         light[r["_home"]] = r["n"]
-    placed = pack(heavy, light, capacity)
+    placed = pack(heavy, light, capacity * SHARD)
     kind = df.schema[key].dataType.simpleString()
     rows = [(k, len(p), p) for k, p in placed.items()]
     return spark.createDataFrame(rows, f"_key {kind}, _shards int, _places array<int>"), total
 
 
-def route(df: DataFrame, key: str, item: str, placement: DataFrame, n_tasks: int) -> DataFrame:
-    """Adds ``_shard`` and ``_task`` and sends every row to its task."""
-    at = F.broadcast(placement)  # at most 4 * n_tasks rows, see plan()
+def assign(df: DataFrame, key: str, item: str, placement: DataFrame, n_tasks: int) -> DataFrame:
+    """Adds ``_shard`` and ``_task``, where the plan puts a row."""
+    at = F.broadcast(placement)  # at most n_tasks / HEAVY rows, see plan()
     shard = F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), F.col(item)), F.col("_shards")), F.lit(0)).cast("int")
     return (
         df.join(at, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_shard", shard)
         .withColumn("_task", F.coalesce(F.element_at("_places", F.col("_shard") + 1), F.pmod(F.xxhash64(F.col(key)), F.lit(n_tasks)).cast("int")))
-        .drop("_key", "_shards", "_places").repartitionById(n_tasks, "_task")
+        .drop("_key", "_shards", "_places")
     )
 
 
+def route(df: DataFrame, key: str, item: str, placement: DataFrame, n_tasks: int) -> DataFrame:
+    """Sends every row to its task."""
+    return assign(df, key, item, placement, n_tasks).repartitionById(n_tasks, "_task")
+
+
 def per_key(df: DataFrame, key: str, item: str, n_tasks: int | None = None) -> DataFrame:
     """Rows, distinct items and redundancy (1 - distinct items / rows with an item) of every key; ``total``: rows of all keys."""
     n = n_tasks or 4 * tasks(df.sparkSession)
@@ -98,15 +103,17 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     """
     n = n_tasks or 4 * tasks(left.sparkSession)
     placement, _ = plan(left.select(key), key, n)
-    at = F.broadcast(placement)  # at most 4 * n rows, see plan()
+    at = F.broadcast(placement)  # at most n / HEAVY rows, see plan()
 
     def home(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    # a null key meets nothing, so its rows may lie anywhere
+    # a row without a spread value is spread by all it holds; a null key meets nothing, so its rows may lie anywhere
+    plain = [f.name for f in left.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    by = F.xxhash64(F.lit("shard"), F.col(spread), F.when(F.col(spread).isNull(), F.xxhash64(*plain)))
     l = left.join(at, F.col(key) == F.col("_key"), "left").withColumn(
-        "__fr_shard", F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), F.col(spread)), F.col("_shards")), F.lit(0)).cast("int")).withColumn(
-        "__fr_task", F.when(F.col(key).isNull(), home(F.col(spread))).otherwise(F.coalesce(F.element_at("_places", F.col("__fr_shard") + 1), home(F.col(key))))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_task")
+        "__fr_shard", F.coalesce(F.pmod(by, F.col("_shards")), F.lit(0)).cast("int")).withColumn(
+        "__fr_task", F.when(F.col(key).isNull(), home(by)).otherwise(F.coalesce(F.element_at("_places", F.col("__fr_shard") + 1), home(F.col(key))))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_task")
     r = right.select(F.col(key).alias("__fr_rkey"), *[F.col(c).alias(c + "_right" if c in left.columns else c) for c in right.columns if c != key])
     r = r.where("__fr_rkey is not null").join(at, F.col("__fr_rkey") == F.col("_key"), "left").withColumn(
         "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).withColumn(

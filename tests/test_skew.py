@@ -76,3 +76,20 @@ def test_join_runs_in_the_planned_tasks(spark):
         assert len(places[7]) > 1 and at == places[7]
     other = skew.fragment_replicate_join(df, right.withColumn("k", F.col("k").cast("int")), "k", "n", 8)
     assert other.count() == df.where("k is not null").count()
+
+
+def test_no_task_gets_much_more_than_its_share(spark):
+    """The heaviest task against the fair share, over the given fleet table, at three sizes of cluster."""
+    import pytest
+
+    path = "/root/testdata/sf0.1/r.parquet"
+    try:
+        r = spark.read.parquet(path)
+    except Exception:
+        pytest.skip("no tables")
+    pairs = r.groupBy(F.col("instance_id").alias("k"), F.col("feature_fingerprint").alias("i")).agg(F.count(F.lit(1)).alias("n")).cache()
+    total = pairs.count()
+    for n in (32, 256, 1024):
+        placement, _ = skew.plan(pairs, "k", n)
+        most = skew.assign(pairs, "k", "i", placement, n).groupBy("_task").count().agg(F.max("count")).first()[0]
+        assert most <= 1.5 * total / n, (n, most * n / total)
