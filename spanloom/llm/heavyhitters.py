@@ -112,8 +112,8 @@ def _sketch_partition(levels: tuple[int, ...], rows: int, width: int):
                 fold()
         fold()
         if n:
-            for piece, x in enumerate(total.reshape(-1, PIECE)):
-                yield pd.DataFrame({"piece": [piece], "n": [n if piece == 0 else 0], "counters": [x.tobytes()]})
+            pieces = [x.tobytes() for x in total.reshape(-1, PIECE)]
+            yield pd.DataFrame({"piece": range(len(pieces)), "n": [n] + [0] * (len(pieces) - 1), "counters": pieces})
     return go
 
 
@@ -122,16 +122,19 @@ _PIECES = "piece int, n long, counters binary"
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of the pieces of a partition sorted by piece, one sum held at a time."""
-    now, n, total = None, 0, np.zeros(PIECE, np.int64)
+    now, n, total, out = None, 0, np.zeros(PIECE, np.int64), []
     for pdf in batches:
         for piece, k, b in zip(pdf["piece"], pdf["n"], pdf["counters"]):
             if piece != now and now is not None:
-                yield pd.DataFrame({"piece": [now], "n": [n], "counters": [total.tobytes()]})
+                out.append((now, n, total.tobytes()))
                 n, total = 0, np.zeros(PIECE, np.int64)
             now, n = piece, n + int(k)
             total += np.frombuffer(b, np.int64)
+        if len(out) >= 256:
+            yield pd.DataFrame(out, columns=["piece", "n", "counters"])
+            out = []
     if now is not None:
-        yield pd.DataFrame({"piece": [now], "n": [n], "counters": [total.tobytes()]})
+        yield pd.DataFrame([*out, (now, n, total.tobytes())], columns=["piece", "n", "counters"])
 
 
 def build(df: DataFrame, item: str, levels: tuple[int, ...] = LEVELS, rows: int = ROWS, width: int = 8192) -> tuple[int, np.ndarray]:
