@@ -216,9 +216,9 @@ def grouping_sets(by: Sequence[str]) -> list[tuple[str, ...]]:
     return [c for n in range(len(by) + 1) for c in combinations(by, n)]
 
 
-def _number(labels: pd.DataFrame) -> np.ndarray:
-    """A 64-bit number of each row of group labels, equal in every task."""
-    return pd.util.hash_pandas_object(labels.fillna("\0null"), index=False).to_numpy().view(np.int64)
+def _numbers_of(values: np.ndarray) -> np.ndarray:
+    """64 bits of each label, equal in every task."""
+    return pd.util.hash_array(np.array(["\0null" if v is None else str(v) for v in values], dtype=object), categorize=False)
 
 
 #: Where the rows of a task come from: a whole day, a day spread by the spread column, a heavy value spread by identifier.
@@ -242,6 +242,7 @@ def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, .
             code, values = pd.factorize(pdf[c])
             codes[c] = np.where(code < 0, len(values), code)
             names[c] = np.append(np.asarray(values, dtype=object), None)
+        number_of = {c: _numbers_of(v) for c, v in names.items()}
         how = pdf["_how"].to_numpy(np.int64)
         for n, item in enumerate(items):
             h = pdf[f"h{n}"].to_numpy(np.int64)
@@ -296,8 +297,11 @@ def _cells(cols: list[str], items: list[str], sets: list[tuple[int, tuple[str, .
                 open_ = np.flatnonzero(~done)
                 if len(open_):
                     ends = np.append(at, len(g))
-                    parts = out.iloc[open_][["day", "grouping", *cols, "item"]].astype(object)
-                    out.loc[open_, "g"] = _number(parts)
+                    z = _numbers_of(np.array([f"{item}|{','.join(s)}"], dtype=object))
+                    with np.errstate(over="ignore"):
+                        for c in ("day", *s):
+                            z = _mix(z * np.uint64(0x9E3779B97F4A7C15) + number_of[c][base[c][first[open_]]])
+                    out.loc[open_, "g"] = z.view(np.int64)
                     hashes, regs = np.full(len(at), None, object), np.full(len(at), None, object)
                     for c in open_:
                         if c in dense:
