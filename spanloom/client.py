@@ -10,10 +10,13 @@ from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.functions.context import Span, Trace
-from spanloom.functions.fingerprint import result_hash
+from spanloom.functions.fingerprint import unordered_hash
+from spanloom.plans.dialect import translate
 from spanloom.plans.sqlplan import refusal
+from spanloom.session import cut, release
 from spanloom.sources.querylog import EVENTS
 
 #: Rows looked at, longest string kept, values after which capture stops, rows of a preview.
@@ -46,27 +49,58 @@ def scalar_values(rows: list[dict]) -> list[str]:
     return list(out)
 
 
+def whole_result(df: DataFrame) -> tuple[list[dict], int, str]:
+    """The first rows of a result in its order, and the number and hash of all its rows (whatever their order).
+
+    The statement runs once: its result is written to the shared folder with the place of every row.
+    """
+    names = df.columns
+    flat = df.toDF(*[f"c{i}" for i in range(len(names))])
+    flat = flat.select(*[F.col(c).cast("string") if kind == "void" else F.col(c) for c, kind in flat.dtypes], F.monotonically_increasing_id().alias("_at"))
+    kept = cut(flat, name="result")
+    try:
+        named = F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+        n, digest = kept.agg(F.count(F.lit(1)), unordered_hash(named)).first()
+        first = kept.orderBy("_at").limit(max(CAPTURE_ROWS, PREVIEW_ROWS)).drop("_at").collect()
+        return [dict(zip(names, r.asDict(recursive=True).values())) for r in first], n, digest
+    finally:
+        release(kept)
+
+
 class TracedSession:
     """One agent's task: every statement becomes a span with an event."""
 
-    def __init__(self, spark: SparkSession, agent_id: str, model_id: str | None = None, timeout_s: float | None = 120.0) -> None:
-        self.spark, self.timeout_s = spark, timeout_s
+    def __init__(self, spark: SparkSession, agent_id: str, model_id: str | None = None, timeout_s: float | None = 120.0, dialect: bool = True) -> None:
+        """dialect: statements are written for the warehouse (:mod:`spanloom.plans.dialect`), not for Spark."""
+        self.spark, self.timeout_s, self.dialect = spark, timeout_s, dialect
         self.trace = Trace(agent_id, model_id)
         self.events: list[dict] = []
         self._by_label: dict[str, str] = {}
         self._lock = threading.Lock()
 
-    def run(self, sql: str, intent: str, follows_from: str | None = None, question: str | None = None) -> dict:
-        """Guard, run and record; returns the event with ``preview`` (rows, at most 50)."""
+    def run(self, sql: str, intent: str, follows_from: str | None = None, question: str | None = None, retry_of: dict | None = None) -> dict:
+        """Guard, run and record; returns the event with ``preview`` (rows, at most 50).
+
+        rows and result_hash are of the whole result; values are those of its first rows. retry_of: the event of the attempt
+        this one repeats.
+        """
         with self._lock:
             label = f"q{len(self.events) + 1}"
             span = Span(self.trace, intent, "refine" if follows_from else "probe", self._by_label.get(follows_from or ""))
             event = {"trace_id": self.trace.trace_id, "span_id": span.span_id, "parent_span_id": span.parent_span_id, "label": label, "speculation_class": span.speculation_class,
                      "span_intent": intent, "attempt_n": 1, "retry_of": None, "question": question, "error": None, "used_downstream": None}
+            if retry_of:
+                event |= {k: retry_of[k] for k in ("parent_span_id", "speculation_class", "span_intent")} | {"attempt_n": retry_of["attempt_n"] + 1, "retry_of": retry_of["span_id"]}
             self.events.append(event)
             self._by_label[label] = span.span_id
-        began, rows = time.time(), []
-        why = refusal(self.spark, sql)
+        began, rows, n, digest = time.time(), [], 0, None
+        text = sql.strip().rstrip(";")
+        why = None
+        try:
+            text = translate(self.spark, text) if self.dialect else text
+        except Exception as e:
+            why = f"not understood: {e}"
+        why = why or refusal(self.spark, text)
         if why:
             event["error"] = why
         else:
@@ -75,17 +109,27 @@ class TracedSession:
             try:
                 if timer:
                     timer.start()
-                df = self.spark.sql(sql.strip().rstrip(";"))
-                rows = [r.asDict(recursive=True) for r in df.take(max(CAPTURE_ROWS, PREVIEW_ROWS))]
+                rows, n, digest = whole_result(self.spark.sql(text))
             except Exception as e:
                 event["error"] = str(e).strip().split("\n")[0][:300]
             finally:
                 if timer:
                     timer.cancel()
                 self.spark.removeTag(span.span_id)
-        event |= {"client_ms": round(1000 * (time.time() - began), 2), "rows": len(rows), "result_hash": result_hash(rows) if not event["error"] else None, "values": scalar_values(rows)}
+        event |= {"client_ms": round(1000 * (time.time() - began), 2), "rows": n, "result_hash": digest, "values": scalar_values(rows)}
         return event | {"preview": rows[:PREVIEW_ROWS]}
 
+    def run_until(self, attempts: Iterable[str], intent: str, follows_from: str | None = None) -> dict:
+        """Run a statement, and while it fails its next rewriting as a retry of the last attempt; the event of the last one."""
+        event: dict | None = None
+        for sql in attempts:
+            event = self.run(sql, intent, follows_from, retry_of=event)
+            if not event["error"]:
+                break
+        if event is None:
+            raise ValueError("no statement")
+        return event
+
     def cite(self, labels: Iterable[str]) -> None:
         """Declare which results the answer used."""
         used = {x.lower() for x in labels}

@@ -160,7 +160,12 @@ def result_hash(rows: list[dict]) -> str:
     return hashlib.sha1(json.dumps(rows, separators=(",", ":"), default=str, ensure_ascii=False).encode()).hexdigest()[:KEEP]
 
 
-def unordered_result_hash(df: DataFrame) -> Column:
-    """Hash of a result whatever its order: an aggregate over ``df`` that moves one number a task, not the rows."""
-    h = F.xxhash64(F.to_json(F.struct(*df.columns)))
+def unordered_hash(row: Column) -> Column:
+    """Hash of all rows whatever their order: an aggregate that moves one number a task, not the rows. row: a struct."""
+    h = F.xxhash64(F.to_json(row))
     return F.substring(F.sha1(F.concat_ws(",", F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))), 1, KEEP)
+
+
+def unordered_result_hash(df: DataFrame) -> Column:
+    """:func:`unordered_hash` of the rows of ``df``."""
+    return unordered_hash(F.struct(*df.columns))
