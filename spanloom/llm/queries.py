@@ -46,6 +46,19 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return expsketch.distinct_counts(r, "day", ["feature_fingerprint", "instance_id"], ["instance_id", "query_type", "database_id", "cluster_size"])
 
 
+@query("""
+with x as (select cast(arrival_ts as date) as day, instance_id, lower(query_type) as query_type, database_id, cluster_size, feature_fingerprint from r),
+f as (select day, array_to_string(list_filter([case when grouping(instance_id) = 0 then 'instance_id' end, case when grouping(query_type) = 0 then 'query_type' end, case when grouping(database_id) = 0 then 'database_id' end, case when grouping(cluster_size) = 0 then 'cluster_size' end], lambda c: c is not null), ',') as "grouping",
+             'feature_fingerprint' as item, count(distinct feature_fingerprint) as n from x group by day, cube (instance_id, query_type, database_id, cluster_size)),
+i as (select day, array_to_string(list_filter([case when grouping(query_type) = 0 then 'query_type' end, case when grouping(database_id) = 0 then 'database_id' end, case when grouping(cluster_size) = 0 then 'cluster_size' end], lambda c: c is not null), ',') as "grouping",
+             'instance_id' as item, count(distinct instance_id) as n from x group by day, cube (query_type, database_id, cluster_size))
+select "grouping", item, count(*) as cells, count(*) filter (n > 512) as from_registers, sum(case when n <= 512 then n else 0 end)::double as exact_total from (select * from f union all select * from i) where n > 0 group by 1, 2""")
+def p4_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Of each set of groups: its cells, how many are counted from registers, and the total of the others, which are exact."""
+    c = p4_distinct(spark, d).groupBy("grouping", "item")
+    return c.agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("exact")).alias("from_registers"), F.sum(F.when(F.col("exact"), F.col("estimate")).otherwise(0.0)).alias("exact_total"))
+
+
 # --- problem 6: most frequent items --------------------------------------------------------------------------------
 
 @query("""
@@ -70,6 +83,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+@query("select doc_id, md5(coalesce(text, '')) as digest, text is null or text = '' as without_ids from documents")
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts the ids of all documents stand for, as digests."""
+    back = bpe.decode(bpe.encode(table(spark, d, "documents")))
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), (F.size("ids") == 0).alias("without_ids"))
+
+
 # --- problem 8: mixing ---------------------------------------------------------------------------------------------
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple]]:
