@@ -143,6 +143,29 @@ def log_statements_per_pid(spark: SparkSession, d: str) -> DataFrame:
     return querylog.statements(table(spark, d, "query_log"), "per_pid").select("log_id", "line_no", "pid", "sql", "duration_ms")
 
 
+_TAG = "regexp_extract(sql, '/\\*agenttrace:(.*?)\\*/', 1)"
+
+
+def _field(key: str, null: bool = False) -> str:
+    """The last pair of a key; a key that is not there is null."""
+    x = f"case when regexp_matches(',' || {_TAG}, ',{key}=') then url_decode(regexp_extract(',' || {_TAG}, '.*,{key}=([^,]*)', 1)) end"
+    return f"nullif({x}, '-')" if null else x
+
+
+@query(f"""
+with {_RECORDS}, {_MORE},
+timed as (select *, case when lead(kind) over w = 'duration' then lead({_MS}) over w end as duration_ms from recs where kind <> 'more' window w as (partition by log_id, pid order by line_no)),
+st as (select {_STATEMENT_COLUMNS}, try_cast(regexp_extract(t.line, '{_LINE}', 1) as timestamp) as ts from timed t left join more on more.log_id = t.log_id and more.line_no = t.line_no where t.kind = 'statement'),
+sp as (select *, regexp_replace(sql, '/\\*agenttrace:(.|\\n)*?\\*/\\s*', '') as sql_text from st where regexp_matches(sql, '/\\*agenttrace:.*?\\*/'))
+select log_id, line_no, {_field('t')} as trace_id, {_field('s')} as span_id, {_field('p', True)} as parent_span_id, {_field('a')} as agent_id, {_field('m')} as model_id, {_field('c')} as speculation_class,
+       try_cast({_field('n')} as int) as attempt_n, {_field('r', True)} as retry_of, {_field('i')} as span_intent, sql_text, epoch_ms(ts)::bigint as start_ms, coalesce(duration_ms, 0.0) as exec_ms,
+       substr(sha1(regexp_replace(sql_text, '^[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+|[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+$', '', 'g')), 1, 12) as exact
+from sp where {_field('t')} is not null""")
+def log_span_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of the log but for their normalized fingerprint."""
+    return log_spans(spark, d).drop("ast")
+
+
 @query()
 def log_spans(spark: SparkSession, d: str) -> DataFrame:
     return querylog.spans(querylog.statements(table(spark, d, "query_log"), "per_pid"))
@@ -257,7 +280,6 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("trace_id is not null and text is not null and text <> ''").select("trace_id", "text")
 
 
-_ANSWERS = "answers as (select trace_id, arg_max(text, doc_id) as text from documents where trace_id is not null and text is not null and text <> '' group by 1)"
 _UNIQUE_EVENTS = "ev as (select trace_id, span_id, arg_min(label, coalesce(label, '')) as label, arg_max(result_values, (logged_at, coalesce(label, ''), array_to_string(result_values, ','))) as result_values from agent_events where trace_id is not null and span_id is not null and result_values is not null group by 1, 2)"
 
 
@@ -276,9 +298,18 @@ def integers_in_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size(found).cast("long").alias("numbers"), F.round(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
-@query()
+_NUMBERS = "(?i)(-?\\d[\\d,]*\\.?\\d*)\\s*(k|m|b|bn|t)?\\b"
+#: SQL of the numbers of a text in order, those with a suffix also scaled.
+_NUMBER_LIST = f"""
+flatten(list_transform(list_zip(regexp_extract_all(text, '{_NUMBERS}', 1), list_transform(regexp_extract_all(text, '{_NUMBERS}', 2), lambda x: lower(x))),
+  lambda h: list_filter([try_cast(replace(h[1], ',', '') as double), try_cast(replace(h[1], ',', '') as double) * case h[2] when 'k' then 1e3 when 'm' then 1e6 when 'b' then 1e9 when 'bn' then 1e9 when 't' then 1e12 end], lambda y: y is not null)))"""
+
+
+@query(f"select doc_id, unnest(n) as number, generate_subscripts(n, 1) - 1 as pos from (select doc_id, {_NUMBER_LIST} as n from documents where text is not null)")
 def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.numbers(F.col("text")).alias("numbers"))
+    """Every number of every text, with its place."""
+    n = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.numbers(F.col("text"))).alias("pos", "number"))
+    return n.select("doc_id", "number", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""
@@ -289,11 +320,34 @@ def value_frequency(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("trace_id", "sets").agg(F.count(F.lit(1)).alias("values"))
 
 
+#: SQL of the texts of a trace, the values of its events, and which of them a text holds.
+_HITS = f"""
+{_UNIQUE_EVENTS},
+texts as (select trace_id, lower(text) as low, {_NUMBER_LIST} as n from documents where trace_id is not null and text is not null and text <> ''),
+vals as (select trace_id, span_id, unnest(result_values) as value, generate_subscripts(result_values, 1) as pos from ev),
+v as (select *, case when regexp_matches(trim(value), '^-?[0-9]+(\\.[0-9]+)?$') then trim(value)::double end as num from vals where value is not null),
+k as (select *, case when num is not null then 'n:' || num::varchar else 's:' || value end as norm from v),
+freq as (select trace_id, norm, count(*) as sets from (select distinct trace_id, span_id, norm from k) group by 1, 2),
+hits as (select k.trace_id, k.span_id, k.pos, k.value, freq.sets,
+                bool_or(case when k.num is not null then len(list_filter(t.n, lambda a: abs(a - k.num) / greatest(abs(k.num), 1) <= 0.02)) > 0
+                             else length(trim(k.value)) >= 3 and (contains(t.low, lower(trim(k.value))) or coalesce(contains(t.low, lower(strftime(case when regexp_matches(trim(k.value), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then try_cast(trim(k.value) as date) end, '%B %-d'))), false)) end) as hit
+         from k join freq on freq.trace_id = k.trace_id and freq.norm = k.norm join texts t on t.trace_id = k.trace_id group by all),
+flags as (select ev.trace_id, ev.span_id, ev.label, coalesce(bool_or(h.hit), false) as grounded, coalesce(bool_or(h.hit and h.sets = 1), false) as uniquely_grounded,
+                 coalesce(array_to_string(list_slice(list(h.value order by h.pos) filter (h.hit), 1, 4), '|'), '') as evidence_text
+          from ev left join hits h on h.trace_id = ev.trace_id and h.span_id = ev.span_id where ev.trace_id in (select trace_id from texts) group by 1, 2, 3)"""
+
+
 @query()
 def grounding_flags(spark: SparkSession, d: str) -> DataFrame:
     return grounding.verify(_unique_events(spark, d), _answers(spark, d), ["trace_id"], ["trace_id", "span_id"])
 
 
+@query(f"with {_HITS} select trace_id, span_id, grounded, uniquely_grounded, evidence_text from flags")
+def grounding_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The flags with their evidence as text."""
+    return grounding_flags(spark, d).withColumn("evidence_text", F.array_join("evidence", "|")).drop("evidence")
+
+
 _CITED_DOCS = r"""
 docs as (select doc_id, regexp_extract(text, '(?mi)^[\s*_#>\-]*CITED:\s*(.+?)[\s*_]*$', 1) as body from documents where text is not null)"""
 
@@ -306,7 +360,13 @@ def cited_labels(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode("c").alias("label"))
 
 
-@query()
+@query(f"""
+with {_HITS},
+cites as (select trace_id, regexp_extract(text, '(?mi)^[\\s*_#>\\-]*CITED:\\s*(.+?)[\\s*_]*$', 1) as body from documents where trace_id is not null and text is not null and text <> ''),
+labels as (select trace_id, list_distinct(flatten(list(list_transform(regexp_split_to_array(body, '[,\\s]+'), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')))))) as cited from cites where body <> '' group by 1),
+x as (select f.*, coalesce(list_contains(l.cited, lower(f.label)), false) as claimed from flags f left join labels l on l.trace_id = f.trace_id)
+select trace_id, count(*) as events, count(*) filter (claimed) as claimed, count(*) filter (grounded) as grounded, count(*) filter (uniquely_grounded) as "unique",
+       count(*) filter (claimed and not grounded) as claimed_ungrounded, count(*) filter (not claimed and grounded) as grounded_unclaimed from x group by 1""")
 def citation_totals(spark: SparkSession, d: str) -> DataFrame:
     e, a = _unique_events(spark, d), _answers(spark, d)
     v = grounding.verify(e, a, ["trace_id"], ["trace_id", "span_id"])

@@ -91,7 +91,7 @@ def p3_entries(spark: SparkSession, d: str) -> DataFrame:
 
 # --- problem 5: a few keys hold most rows --------------------------------------------------------------------------
 
-@query()
+@query("select instance_id from r group by instance_id having count(*) * 100 >= (select count(*) from r) and instance_id is not null")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Instances with at least 1 % of all rows."""
     per = skew.per_key(table(spark, d, "r"), "instance_id", "feature_fingerprint")
