@@ -11,7 +11,7 @@ from spanloom.operators import billing, fleet, grounding, lineage, measured
 from spanloom.plans import extract, rollup
 from spanloom.plans.sqlplan import Shape, refusal
 from spanloom.queries import query
-from spanloom.session import cut, table
+from spanloom.session import cut, ship, table
 from spanloom.sources import querylog
 from spanloom.streaming import windows as streams
 
@@ -593,3 +593,73 @@ _sql("select n.n_name, count(*) as customers, (select count(*) from customer) as
 _sql("select round(cast(avg(o_totalprice) as decimal(38, 10)), 2) as mean from orders", "select round(avg(o_totalprice), 2)::decimal(38, 2) as mean from orders", name="delegated_numeric_cast")
 _sql("select p_brand, p_size, p_partkey from part order by p_brand, p_size, p_partkey limit 10 offset 5", name="delegated_limit_offset")
 _sql("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn from orders", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey)::int as rn from orders", name="delegated_row_number")
+
+
+# --- written cases: statements, matches and covering sets with the results they must have -----------------------------------------
+
+#: Statements and what they are modelled as (table, measures, group keys, filters); None where a rollup could not serve them.
+SHAPE_CASES: tuple[tuple[str, tuple[str, str, str, str] | None], ...] = (
+    ("select order_date, sum(amount) from orders group by order_date", ("orders", "sum(amount)", "order_date", "")),
+    ("SELECT COUNT(*), AVG(x.amount) FROM orders x WHERE x.region = 'EMEA' AND x.channel = 'email'", ("orders", "avg(amount) ; count(*)", "", "channel = 'email' ; region = 'EMEA'")),
+    ("select avg(amount), count(1) from orders where channel = 'email' and region = 'EMEA'", ("orders", "avg(amount) ; count(*)", "", "channel = 'email' ; region = 'EMEA'")),
+    ("select date_trunc('month', order_date) as m, count(*) from orders group by 1", ("orders", "count(*)", "date_trunc('month', order_date)", "")),
+    ("select date_trunc('month', order_date) as m, count(*) from orders group by m order by m limit 3", ("orders", "count(*)", "date_trunc('month', order_date)", "")),
+    ("select region, channel, min(amount), max(amount) from orders where order_date >= '2026-07-01' group by channel, region", ("orders", "max(amount) ; min(amount)", "channel ; region", "order_date >= '2026-07-01'")),
+    ("select count(distinct customer_id) from orders", ("orders", "count(distinct customer_id)", "", "")), ("select d::date, count(*) from t group by d::date", ("t", "count(*)", "d::date", "")),
+    ("select sum(a + b) from t where k in (1, 2) and z <> 3", ("t", "sum(a + b)", "", "k in (1, 2) ; z <> 3")), ("select sum(a * (b + 1)) from t where x between 1 and 5", ("t", "sum(a * (b + 1))", "", "x between 1 and 5")),
+    ("select * from orders", None), ("select region from orders", None), ("select count(*) from a join b on a.x = b.x", None), ("with c as (select 1 as x) select count(*) from c", None), ("select count(*) from t where a = 1 or b = 2", None),
+    ("select a, count(*) from t group by a having count(*) > 1", None), ("select sum(a) over () from t", None), ("select count(*) from t where a in (select b from u)", None), ("select count(*) from (select 1 as x)", None), ("select count(*) from t; select 1", None),
+    ("nonsense", None), ("select count(*) filter (where a > 1) from t", None), ("select count(*) from t union all select 1", None), ("select sum(a) / count(*), count(*) from t", None), ("select distinct count(*) from t", None),
+)
+#: Rollup, query, and whether the one answers the other.
+MATCH_CASES = (
+    ("select order_date, sum(amount) from orders group by order_date", "select sum(amount) from orders where order_date = '2026-07-12'", True), ("select region, channel, sum(amount) from orders group by region, channel", "select sum(amount) from orders where region = 'EMEA' and channel = 'email'", True),
+    ("select region, sum(amount), count(*) from orders group by region", "select avg(amount) from orders where region = 'EMEA'", True), ("select region, channel, sum(amount) from orders group by region, channel", "select region, sum(amount) from orders group by region", True),
+    ("select order_date, count(*) from orders group by order_date", "select date_trunc('month', order_date), count(*) from orders group by 1", True), ("select date_trunc('month', order_date), count(*) from orders group by 1", "select order_date, count(*) from orders group by order_date", False),
+    ("select region, sum(amount) from orders group by region", "select sum(amount) from orders where channel = 'email'", False), ("select region, sum(amount) from orders where channel = 'email' group by region", "select region, sum(amount) from orders group by region", False),
+    ("select region, sum(amount) from refunds group by region", "select region, sum(amount) from orders group by region", False), ("select region, sum(amount) from orders group by region", "select region, max(amount) from orders group by region", False),
+    ("select region, avg(amount) from orders group by region", "select avg(amount) from orders", False), ("select region, sum(amount) from orders group by region", "select avg(amount) from orders", False), ("select region, sum(amount) from orders group by region", "select channel, sum(amount) from orders group by channel", False),
+    ("select region, count(distinct customer_id) from orders group by region", "select count(distinct customer_id) from orders", False), ("select order_date, sum(amount) from orders group by order_date", "select sum(amount) from orders where order_date >= '2026-07-01'", False),
+    ("select order_date, sum(amount) from orders where order_date >= '2026-07-01' group by order_date", "select sum(amount) from orders where order_date >= '2026-07-01'", True),
+)
+#: Workloads, and the number of rollups and of statements they answer.
+COVER_CASES = {
+    "one-day probes": ([f"select sum(amount) from orders where order_date = '2026-07-{x:02d}'" for x in range(1, 32)], 1, 31), "two tables": (["select sum(amount) from orders where region = 'EMEA'", "select sum(amount) from refunds where desk = 'north'"], 2, 2),
+    "no rollup": (["select avg(amount) from orders where order_date >= '2026-07-01' group by region"], 0, 0), "the same twice": (["select region, count(*) from orders group by region"] * 2, 1, 2),
+}
+
+
+def _rows(values: list[tuple], names: str) -> str:
+    cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(cell, v)) + ')' for v in values)}) t({names})"
+
+
+def _shaped(spark: SparkSession, statements: list[str]) -> DataFrame:
+    ship(spark)
+    return extract.shapes(spark.createDataFrame(list(enumerate(statements)), "i long, sql string"), "sql", "i")
+
+
+@query(_rows([(i, *(want or (None,) * 4)) for i, (_, want) in enumerate(SHAPE_CASES)], "case_no, tab, measures, groupby, filters"))
+def shape_cases(spark: SparkSession, d: str) -> DataFrame:
+    """What the written statements are modelled as."""
+    s = _shaped(spark, [sql for sql, _ in SHAPE_CASES])
+    return s.select(F.col("shape_id").cast("int").alias("case_no"), F.col("table").alias("tab"), *[F.when(F.col("table").isNotNull(), F.array_join(c, " ; ")).alias(c) for c in ("measures", "groupby", "filters")])
+
+
+@query(_rows([(i, want) for i, (_, _, want) in enumerate(MATCH_CASES)], "case_no, answered"))
+def match_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the written queries their rollups answer."""
+    a = _shaped(spark, [a for a, _, _ in MATCH_CASES]).select("shape_id", F.struct("table", "filters", rollup.offers_column().alias("have")).alias("a"))
+    q = _shaped(spark, [q for _, q, _ in MATCH_CASES]).select("shape_id", F.struct("table", "filters", rollup.needs_column().alias("need")).alias("q"))
+    return a.join(q, "shape_id").select(F.col("shape_id").cast("int").alias("case_no"), rollup.subsumes_column().alias("answered"))
+
+
+@query(_rows([(name, anchors, covered) for name, (_, anchors, covered) in COVER_CASES.items()], "workload, anchors, covered"))
+def cover_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Size and reach of the covering sets of the written workloads, each with its own tables."""
+    number = {name: i for i, name in enumerate(COVER_CASES)}
+    sqls = [sql.replace(" from ", f" from w{number[name]}_") for name, (some, _, _) in COVER_CASES.items() for sql in some]
+    shapes = rollup.distinct(cut(_shaped(spark, sqls).where("table is not null"), name="cases"))
+    got = rollup.cover_rows(shapes).select(F.regexp_extract("sql", " from w([0-9]+)_", 1).cast("int").alias("w"), "anchor_no", "n").groupBy("w").agg(F.count_distinct("anchor_no").cast("int").alias("anchors"), F.sum("n").cast("int").alias("covered"))
+    names = spark.createDataFrame([(i, n) for n, i in number.items()], "w int, workload string")
+    return names.join(got, "w", "left").select("workload", F.coalesce("anchors", F.lit(0)).alias("anchors"), F.coalesce("covered", F.lit(0)).alias("covered"))
