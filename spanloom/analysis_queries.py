@@ -556,9 +556,9 @@ def sessions_per_statement(spark: SparkSession, d: str) -> DataFrame:
     return lineage.latest_spans(table(spark, d, "spans")).where("ast is not null").groupBy("ast").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("trace_key").alias("sessions"))
 
 
-@query("select 21960 as orders, 61 as days, 3 as regions, 4 as channels, 'ok' as amounts")
+@query("select 4392000 as orders, 61 as days, 3 as regions, 4 as channels, 'ok' as amounts")
 def synthetic_warehouse(spark: SparkSession, d: str) -> DataFrame:
-    o = querylog.warehouse_orders(spark, per_cell=30)
+    o = querylog.warehouse_orders(spark)
     odd = (F.col("region") == "EMEA") & (F.col("channel") == "paid_search") & (F.col("order_date") >= "2026-07-12")
     fine = F.bool_and(F.when(odd, F.col("amount").between(10, 40)).otherwise(F.col("amount").between(40, 260)))
     return o.agg(F.count(F.lit(1)).cast("int").alias("orders"), F.count_distinct("order_date").cast("int").alias("days"), F.count_distinct("region").cast("int").alias("regions"), F.count_distinct("channel").cast("int").alias("channels"), F.when(fine, "ok").otherwise("off").alias("amounts"))

@@ -72,12 +72,14 @@ def bill(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billi
 def attribute(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billing(), dilation: float = 1.0) -> DataFrame:
     """Every span with its part of the bill: its own seconds and, in proportion, the idle ones (equal parts without any)."""
     x = windows_of(spans, by, order, model, dilation)
-    # two levels, so that the per-key sums are aggregated before they meet the spans again
-    b = bill(spans, by, order, model, dilation).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("billed_s").alias("_bill"), F.col("productive_s").alias("_prod"), F.col("spans").alias("_n"))
-    on = [x[c].eqNullSafe(b[f"_{c}"]) for c in by]
+    key, window = Window.partitionBy(*by), Window.partitionBy(*by, "window_no")
     own = F.col("end_s") - F.col("start_s")
+    # the windows of a key lie in one task already: totals come from frames over the same partitioning
+    x = x.withColumns({"_a": F.min("start_s").over(window), "_b": F.max("end_s").over(window), "_nth": F.row_number().over(window.orderBy("start_s", order))})
+    billed = F.when(F.col("_nth") == 1, F.greatest(F.lit(model.minimum_s), F.col("_b") - F.col("_a") + model.suspend_s))
+    x = x.withColumns({"_bill": F.sum(billed).over(key), "_prod": F.sum(own).over(key), "_n": F.count(F.lit(1)).over(key)})
     part = own + F.when(F.col("_prod") > 0, own / F.col("_prod") * (F.col("_bill") - F.col("_prod"))).otherwise((F.col("_bill") - F.col("_prod")) / F.col("_n"))
-    return x.join(b, on).withColumn("billed_s", part).withColumn("cost", model.dollars(F.col("billed_s"))).drop("_bill", "_prod", "_n", *[f"_{c}" for c in by])
+    return x.withColumn("billed_s", part).withColumn("cost", model.dollars(F.col("billed_s"))).drop("_a", "_b", "_nth", "_bill", "_prod", "_n")
 
 
 def extrapolate(cost_per_task: Column, model: Billing = Billing(), days: int = 30) -> Column:

@@ -34,10 +34,11 @@ def verify(events: DataFrame, answers: DataFrame, by: list[str], key: list[str],
     v = values_of(events, [*by, *[k for k in key if k not in by]], values)
     freq = value_frequency(events, by, key, values)
     hit = F.when(F.col("number").isNotNull(), T.number_present(F.col("number"), F.col("_numbers"))).otherwise(T.text_present(F.col("value"), F.col("_lower")))
-    found = v.join(freq, [*by, "norm"]).join(a, by).withColumn("hit", F.coalesce(hit, F.lit(False)))
+    # a value meets the texts of its trace and leaves them behind: only values that are found go on
+    found = v.join(a, by).where(F.coalesce(hit, F.lit(False))).select(*[c for c in v.columns if c != "number"]).distinct().join(freq, [*by, "norm"])
     agg = found.groupBy(*key).agg(
-        F.bool_or("hit").alias("grounded"), F.bool_or(F.col("hit") & (F.col("sets") == 1)).alias("uniquely_grounded"),
-        F.transform(F.slice(F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct("pos", "value")))), 1, 4), lambda x: x["value"]).alias("evidence"))
+        F.lit(True).alias("grounded"), F.bool_or(F.col("sets") == 1).alias("uniquely_grounded"),
+        F.transform(F.slice(F.array_sort(F.collect_set(F.struct("pos", "value"))), 1, 4), lambda x: x["value"]).alias("evidence"))
     empty = F.array().cast("array<string>")
     return events.join(a.select(*by).distinct(), by, "left_semi").select(*key).distinct().join(agg, key, "left").select(
         *key, F.coalesce("grounded", F.lit(False)).alias("grounded"), F.coalesce("uniquely_grounded", F.lit(False)).alias("uniquely_grounded"), F.coalesce("evidence", empty).alias("evidence"))

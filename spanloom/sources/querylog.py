@@ -2,8 +2,8 @@
 
 A statement runs over its continuation lines. Its duration is a later ``duration:`` line of the same process, matched in
 one of two ways: ``slot`` keeps one pending record for the whole log (a statement loses its duration when another
-process writes in between), ``per_pid`` keeps one per process. Windows run per log in line order with running frames, so
-a task streams through its log and never holds it.
+process writes in between), ``per_pid`` keeps one per process. Logs are cut into pieces by range of (log, line); windows run
+within a piece, and what a piece hands on to the next is one row a piece, so the largest log is spread over all tasks.
 
 Defined results: rows without log or line number are ignored; repeated lines count once; continuation lines before any
 statement belong to none; an empty table gives no rows.
@@ -11,21 +11,43 @@ statement belong to none; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import context, fingerprint
+from spanloom.session import cut, ship
 
 #: Fixed value: the layout of a line.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+) \[(\d+)\] (LOG|ERROR|STATEMENT|HINT|WARNING|DETAIL|FATAL):  (.*)$"
 
 
+LINES = "log_id string, line_no long, line string"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines numbered within their split: the byte a split begins at and the place in it rise with the place in the file."""
+    block, at = None, 0
+    for b in batches:
+        file, start = b.column("file").to_pylist(), b.column("start").to_numpy()
+        edges = [i for i in range(b.num_rows) if i == 0 or file[i] != file[i - 1] or start[i] != start[i - 1]] + [b.num_rows]
+        number = np.empty(b.num_rows, np.int64)
+        for lo, hi in zip(edges, edges[1:]):
+            if (file[lo], start[lo]) != block:
+                block, at = (file[lo], start[lo]), 0
+            number[lo:hi] = start[lo] + at + 1 + np.arange(hi - lo)
+            at += hi - lo
+        yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(number), b.column("value")], ["log_id", "line_no", "line"])
+
+
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Log files as ``log_id, line_no, line``; a file is one record of the scan, so its line order is kept."""
-    text = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), "value")
-    return text.select("log_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    """Log files as ``log_id, line_no, line``. Large files are read in splits; line numbers rise in the order of the lines, from 1 in each file, with gaps between splits."""
+    text = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    ship(spark)
+    return text.mapInArrow(_numbered, LINES)
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -39,24 +61,42 @@ def records(lines: DataFrame) -> DataFrame:
                       F.when(hit, F.regexp_extract("line", LINE, 3)).alias("pid"), F.when(hit, F.regexp_extract("line", LINE, 4)).alias("level"), rest.alias("rest"))
 
 
+def _before(r: DataFrame, value: Column, by: list[str], upto: int) -> Column:
+    """The last value that is not null, of the rows of a piece up to ``upto`` (0: this one, -1: the one before)."""
+    return F.last(value, True).over(Window.partitionBy(*by, "_piece").orderBy("line_no").rowsBetween(Window.unboundedPreceding, upto))
+
+
+def _carried(r: DataFrame, value: Column, by: list[str], upto: int, name: str) -> DataFrame:
+    """``r`` with the last value before a row, over the pieces."""
+    ends = r.groupBy(*by, "_piece").agg(F.max_by(value, F.when(value.isNotNull(), F.col("line_no"))).alias("_v"))  # a row a piece
+    before = ends.withColumn("_v", F.last("_v", True).over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))
+    return r.withColumn(name, _before(r, value, by, upto)).join(before, [*by, "_piece"], "left").withColumn(name, F.coalesce(name, "_v")).drop("_v")
+
+
+def _next(r: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
+    """``r`` with the value of the next row, over the pieces; value: a struct."""
+    heads = r.groupBy(*by, "_piece").agg(F.min_by(value, "line_no").alias("_v"))  # a row a piece
+    after = heads.withColumn("_v", F.lead("_v").over(Window.partitionBy(*by).orderBy("_piece")))
+    return r.withColumn(name, F.lead(value).over(Window.partitionBy(*by, "_piece").orderBy("line_no"))).join(after, [*by, "_piece"], "left").withColumn(name, F.coalesce(name, "_v")).drop("_v")
+
+
 def statements(lines: DataFrame, pairing: str = "slot") -> DataFrame:
     """``log_id, line_no, ts, pid, sql, duration_ms`` of every statement."""
     if pairing not in ("slot", "per_pid"):
         raise ValueError("pairing must be slot or per_pid")
-    r = records(lines)
-    order = Window.partitionBy("log_id").orderBy("line_no")
+    r = cut(records(lines).repartitionByRange("log_id", "line_no").withColumn("_piece", F.spark_partition_id()), name="log")  # read several times
     head = r.where("kind <> 'more'")
-    ms = F.regexp_extract("rest", r"^duration: ([0-9.]+) ms", 1).try_cast("double")
     if pairing == "slot":
-        pending = F.last(F.when(F.col("kind").isin("statement", "other"), F.struct("kind", "pid")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        kept = head.withColumn("_p", pending).where("kind <> 'duration' or (_p is not null and _p.kind = 'statement' and _p.pid = pid)")
-        w = order
+        head = _carried(head, F.when(F.col("kind").isin("statement", "other"), F.struct("kind", "pid")), ["log_id"], -1, "_p")
+        head, by = head.where("kind <> 'duration' or (_p is not null and _p.kind = 'statement' and _p.pid = pid)").drop("_p"), ["log_id"]
     else:
-        kept, w = head, Window.partitionBy("log_id", "pid").orderBy("line_no")
-    timed = kept.withColumn("duration_ms", F.when(F.lead("kind").over(w) == "duration", F.lead(ms).over(w))).where("kind = 'statement'")
+        by = ["log_id", "pid"]
+    timed = _next(head, F.struct("kind", "rest"), by, "_n").where("kind = 'statement'")
+    ms = F.when(F.col("_n.kind") == "duration", F.regexp_extract("_n.rest", r"^duration: ([0-9.]+) ms", 1).try_cast("double"))
+    timed = timed.withColumn("duration_ms", ms)
     # continuation lines belong to the last record, if that is a statement (a matched or foreign duration line ends it, too)
-    owner = F.last(F.when(F.col("kind") != "more", F.struct("kind", "line_no")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    more = r.withColumn("_o", owner).where("kind = 'more' and _o.kind = 'statement'").groupBy("log_id", F.col("_o.line_no").alias("line_no")).agg(
+    owned = _carried(r, F.when(F.col("kind") != "more", F.struct("kind", "line_no")), ["log_id"], 0, "_o")
+    more = owned.where("kind = 'more' and _o.kind = 'statement'").groupBy("log_id", F.col("_o.line_no").alias("line_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"]), "\n").alias("_more"))
     first = F.substring(F.col("rest"), 12, 1 << 30)
     return timed.join(more, ["log_id", "line_no"], "left").select(
@@ -123,6 +163,14 @@ def warehouse_refunds(orders: DataFrame, share: float = 0.002, seed: int = 11) -
     return orders.where(chosen).select(F.abs(F.xxhash64("order_id", F.lit(seed))).alias("refund_id"), "order_id", F.date_add("order_date", 5).alias("refund_date"), (F.col("amount") / 2).cast("decimal(10,2)").alias("amount"))
 
 
+def decoys(spark: SparkSession, tables: int = 120, rows: int = 200, prefix: str = "decoy_") -> list[str]:
+    """The views a wide schema is padded with; their names."""
+    names = [f"{prefix}{n:03d}" for n in range(1, tables + 1)]
+    for n, name in enumerate(names, 1):
+        decoy(spark, n, rows).createOrReplaceTempView(name)
+    return names
+
+
 def decoy(spark: SparkSession, number: int, rows: int = 200) -> DataFrame:
     """One of the tables a wide schema is padded with."""
     h = F.xxhash64("id", F.lit(number))

@@ -130,3 +130,41 @@ def test_generated_tables(spark):
     o = Q.warehouse_orders(spark, per_cell=5)
     assert o.count() == 61 * 12 * 5 and o.select("order_id").distinct().count() == o.count()
     assert 0 < Q.warehouse_refunds(o, 0.1).count() < o.count() * 0.2 and Q.decoy(spark, 3).count() == 200
+
+
+def test_pieces_of_a_log_hand_on_what_is_pending(spark):
+    import random
+
+    rng = random.Random(6)
+    lines = []
+    for i in range(240):
+        t, pid = i % 10, rng.choice((10, 20))
+        lines.append(rng.choice([P.format(t, pid, f"select {i}"), D.format(t, pid, f"{i}.5"), "\tmore", "", f"2026-06-02 08:33:0{t}.000 UTC [{pid}] ERROR:  x"]))
+    df = log(spark, *lines).unionByName(log(spark, *lines[:50]).withColumn("log_id", F.lit("m")))
+    seen = {}
+    for parts in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            for mode in ("slot", "per_pid"):
+                got = sorted(map(tuple, Q.statements(df, mode).collect()))
+                assert seen.setdefault(mode, got) == got
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(seen["slot"]) > 30 and seen["slot"] != seen["per_pid"] and any(r[5] for r in seen["slot"])
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(900)]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    (tmp_path / "b.log").write_text("one\ntwo")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = Q.read_lines(spark, str(tmp_path / "a.log"), str(tmp_path / "b.log"))
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.orderBy("log_id", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["line"] for r in rows] == [*lines, "one", "two"] and len({(r["log_id"], r["line_no"]) for r in rows}) == 902
+    assert [r["line_no"] for r in rows if r["log_id"].endswith("b.log")] == [1, 2]
