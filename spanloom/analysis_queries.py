@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom import reports
 from spanloom.functions import context, fingerprint
 from spanloom.functions import text as T
 from spanloom.operators import billing, fleet, grounding, lineage, measured
@@ -496,6 +497,14 @@ def cover_anchors(spark: SparkSession, d: str) -> DataFrame:
     return rollup.cover_rows(_span_shapes(spark, d)).withColumnRenamed("n", "statements")
 
 
+@query()
+def anchor_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """How many traces each rollup of the covering set answers statements of."""
+    spans = lineage.latest_spans(table(spark, d, "spans")).where("sql_text is not null")
+    s = extract.shapes(spans, "sql_text", "row_id").where("reason is null").join(spans.select(F.col("row_id").alias("shape_id"), "trace_key"), "shape_id")
+    return reports.anchor_sessions(cut(s, name="modelled"), "trace_key")
+
+
 @query()
 def span_cover_edges(spark: SparkSession, d: str) -> DataFrame:
     """Which shape of a statement answers which other, of all modelled statements; statements: those of the answered shape."""

@@ -116,7 +116,7 @@ class TracedSession:
                 if timer:
                     timer.cancel()
                 self.spark.removeTag(span.span_id)
-        event |= {"client_ms": round(1000 * (time.time() - began), 2), "rows": n, "result_hash": digest, "values": scalar_values(rows)}
+        event |= {"client_ms": round(1000 * (time.time() - began), 2), "rows": n, "result_hash": digest, "values": scalar_values(rows), "query_id": span.span_id if not event["error"] else None}
         return event | {"preview": rows[:PREVIEW_ROWS]}
 
     def run_until(self, attempts: Iterable[str], intent: str, follows_from: str | None = None) -> dict:

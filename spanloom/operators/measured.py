@@ -16,6 +16,15 @@ def tagged(history: DataFrame, hours: float | None = None, preflight: str = "pre
     return h.withColumn("_t", parse_tag(F.col("query_tag"))).where("_t is not null").select("*", F.col("_t.trace_id").alias("trace_id")).drop("_t")
 
 
+#: Fixed value: rows a recent-history source hands out at most.
+RECENT_ROWS = 10_000
+
+
+def recent(history: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
+    """What a near-real-time history source would hand out: its n newest rows."""
+    return newest(history, n)
+
+
 def newest(history: DataFrame, n: int = 500) -> DataFrame:
     """The n newest rows (a report of fixed length)."""
     return history.orderBy(F.desc("start_time"), "query_id").limit(n)
