@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from spanloom.operators import billing, fleet, grounding, lineage, measured
 from spanloom.plans import extract, rollup
 from spanloom.plans.sqlplan import Shape, refusal
 from spanloom.queries import query
-from spanloom.session import cut, ship, table
+from spanloom.session import cut, shared_folder, ship, table
 from spanloom.sources import querylog
 from spanloom.streaming import windows as streams
 
@@ -70,6 +72,16 @@ def exact_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "spans").where("sql_text is not null").select("row_id", fingerprint.exact_hash(F.col("sql_text")).alias("fingerprint"))
 
 
+@query("select row_id, sha1(regexp_replace(regexp_replace(sql_text, '/\\*(.|\\n)*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g')) as bare from spans where sql_text is not null")
+def comments_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "spans").where("sql_text is not null").select("row_id", F.sha1(fingerprint.without_comments(F.col("sql_text"))).alias("bare"))
+
+
+@query("select trace_id, span_id, label, case when parent_span_id is not null and parent_span_id <> '' then 'refine' else 'probe' end as class, count(*) as n from agent_events group by all")
+def class_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "agent_events").groupBy("trace_id", "span_id", "label", context.class_of(F.col("parent_span_id")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def normalized_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "spans").where("sql_text is not null").select("row_id", fingerprint.normalized_hash(F.col("sql_text")).alias("fingerprint"))
@@ -274,6 +286,32 @@ def follow_labels(spark: SparkSession, d: str) -> DataFrame:
     return lineage.follow_labels(e).select("trace_id", "span_id", "label", "parent_span_id")
 
 
+_EVENT_COLUMNS = "trace_id, span_id, parent_span_id, label, speculation_class, span_intent, attempt_n, retry_of, result_hash, client_ms, error, used_downstream, grounded"
+
+
+@query(f"select {_EVENT_COLUMNS}, row_count as rows, array_to_string(result_values, '|') as value_text from agent_events")
+def events_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All events written as JSON lines and read again."""
+    e = table(spark, d, "agent_events").withColumnsRenamed({"row_count": "rows", "result_values": "values"})
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    querylog.write_events(e, path)
+    return querylog.read_events(spark, [path, path + "-missing"]).select(*_EVENT_COLUMNS.split(", "), "rows", F.array_join("values", "|").alias("value_text"))
+
+
+@query("select lower(query_type) as kind, count(*) as queries, count(distinct database_id) as databases from (select * from r union all select * from r) group by 1")
+def fleet_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A fleet trace of two parts (here the same one twice)."""
+    parts = querylog.read_fleet(spark, f"{d}/r.parquet", f"{d}/r.parquet")
+    return parts.groupBy(F.lower("query_type").alias("kind")).agg(F.count(F.lit(1)).alias("queries"), F.count_distinct("database_id").alias("databases"))
+
+
+@query("select row_id as query_id, exec_ms as total_elapsed_time from spans order by ingested_at desc nulls last, row_id limit 10000")
+def recent_history(spark: SparkSession, d: str) -> DataFrame:
+    """What a history source hands out: its 10,000 newest rows."""
+    h = table(spark, d, "spans").select(F.col("row_id").alias("query_id"), F.col("exec_ms").alias("total_elapsed_time"), F.col("ingested_at").alias("start_time"))
+    return measured.recent(h).drop("start_time")
+
+
 # --- grounding -----------------------------------------------------------------------------------------------------------
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -485,6 +523,21 @@ def cover_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("rank.at").cast("int").alias("anchor_id"), F.col("shape_id").cast("int").alias("shape_id"))
 
 
+@query(f"""
+with {_values()}, {_DIMS},
+pool as (select distinct tab, dims from dims union select tab, list_sort(list_distinct(flatten(list(dims)))) as dims from dims group by tab having len(flatten(list(dims))) > 0),
+offered as (select tab, list_distinct(list_append(flatten(list(list_transform(list_filter(measures, lambda m: not starts_with(m, 'count(distinct ')), lambda m: case when starts_with(m, 'avg(') then 'sum(' || m[5:] else m end))), 'count(*)')) as measures from shapes group by tab)
+select distinct a.tab as "table", array_to_string(a.dims, '|') as dims, q.shape_id from pool a join offered o on o.tab = a.tab join shapes q on q.tab = a.tab
+where len(list_filter(q.measures, lambda m: not (case when starts_with(m, 'avg(') then list_contains(o.measures, 'sum(' || m[5:]) else list_contains(o.measures, m) end))) = 0
+and len(list_filter(q.groupby, lambda g: not (list_contains(a.dims, g) or (starts_with(g, 'date_trunc(') and list_contains(a.dims, regexp_extract(g, ', ([a-z_]+)\\)', 1)))))) = 0
+and len(list_filter(q.filters, lambda f: not (regexp_extract(f, '^([a-z_]+)\\s*=', 1) <> '' and list_contains(a.dims, regexp_extract(f, '^([a-z_]+)\\s*=', 1))))) = 0""")
+def synthetic_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Which synthesized rollups answer which shapes of the small workload."""
+    w = _workload(spark)
+    e = rollup.edges(w).where("rank.o = 0").select("rank", "shape_id")
+    return e.join(rollup.pool(w).select("rank", "table", F.array_join("groupby", "|").alias("dims")), "rank").select("table", "dims", F.col("shape_id").cast("int").alias("shape_id")).distinct()
+
+
 def _span_shapes(spark: SparkSession, d: str) -> DataFrame:
     """The distinct shapes of all modelled statements, with their number."""
     s = extract.shapes(lineage.latest_spans(table(spark, d, "spans")).where("sql_text is not null"), "sql_text", "row_id").where("reason is null")

@@ -74,21 +74,33 @@ def subsumes(anchor: Shape, query: Shape) -> bool:
     return anchor.table == query.table and set(anchor.filters) <= set(query.filters) and all(have.intersection(n) for n in needs(query.measures, query.groupby, query.filters))
 
 
+#: What stands between the strings of a list, and between lists, on the way to Python and back (plain strings travel fastest).
+_OF, _LISTS = "\x1f", "\x1e"
+
+
+def _lists(*columns: pd.Series):
+    return zip(*[[x.split(_OF) if x else [] for x in c] for c in columns])
+
+
 def _offers_series(measures: pd.Series, groupby: pd.Series, filters: pd.Series) -> pd.Series:
-    return pd.Series([sorted(offers(*x)) for x in zip(measures, groupby, filters)], dtype=object)
+    return pd.Series([_OF.join(sorted(offers(*x))) for x in _lists(measures, groupby, filters)], dtype=object)
 
 
 def _needs_series(measures: pd.Series, groupby: pd.Series, filters: pd.Series) -> pd.Series:
-    return pd.Series([needs(*x) for x in zip(measures, groupby, filters)], dtype=object)
+    return pd.Series([_LISTS.join(_OF.join(n) for n in needs(*x)) for x in _lists(measures, groupby, filters)], dtype=object)
+
+
+def _flat() -> list[Column]:
+    return [F.array_join(c, _OF) for c in ("measures", "groupby", "filters")]
 
 
 def offers_column() -> Column:
     """:func:`offers` of the columns measures, groupby and filters."""
-    return F.pandas_udf(_offers_series, "array<string>")("measures", "groupby", "filters")
+    return F.split(F.pandas_udf(_offers_series, "string")(*_flat()), _OF)
 
 
 def needs_column() -> Column:
-    return F.pandas_udf(_needs_series, "array<array<string>>")("measures", "groupby", "filters")
+    return F.transform(F.split(F.pandas_udf(_needs_series, "string")(*_flat()), _LISTS), lambda n: F.split(n, _OF))
 
 
 def subsumes_column(a: str = "a", q: str = "q") -> Column:

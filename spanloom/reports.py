@@ -141,7 +141,7 @@ def same_task(spark: SparkSession, shapes: list[tuple[int, Shape]]) -> tuple[Dat
     """Sub-expression ratios of repeated attempts at one task, and the verdict."""
     r = rollup.subexpression_ratios(rollup.subexpressions(rollup.frame(spark, shapes)))
     whole = r.where("kind = 'all'").first()
-    return r, fleet.verdict(whole["ratio"])
+    return r.orderBy("size", "kind"), fleet.verdict(whole["ratio"])
 
 
 def measured_cost(history: DataFrame, attribution: DataFrame) -> DataFrame:
