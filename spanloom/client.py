@@ -70,8 +70,10 @@ def whole_result(df: DataFrame) -> tuple[list[dict], int, str]:
 class TracedSession:
     """One agent's task: every statement becomes a span with an event."""
 
-    def __init__(self, spark: SparkSession, agent_id: str, model_id: str | None = None, timeout_s: float | None = 120.0, dialect: bool = True) -> None:
-        """dialect: statements are written for the warehouse (:mod:`spanloom.plans.dialect`), not for Spark."""
+    def __init__(self, spark: SparkSession, agent_id: str, model_id: str | None = None, timeout_s: float | None = 120.0, dialect: bool = True, mode: str = "observe") -> None:
+        """dialect: statements are written for the warehouse (:mod:`spanloom.plans.dialect`), not for Spark. mode: only ``observe``; nothing is intercepted."""
+        if mode != "observe":
+            raise NotImplementedError(f"mode {mode}: statements are observed, never rewritten or answered from elsewhere")
         self.spark, self.timeout_s, self.dialect = spark, timeout_s, dialect
         self.trace = Trace(agent_id, model_id)
         self.events: list[dict] = []

@@ -137,6 +137,21 @@ def cross_session(spark: SparkSession, statements: DataFrame, mode: str = "parit
                                  "sessions long, statements long, modelled long, session_anchors long, anchors long, covered long, shared_anchors long, redundancy double, dedup_covered double, dedup_modelled double")
 
 
+def cross_session_lines(row: Row, bill: Row | None = None) -> list[str]:
+    """:func:`cross_session` as text, with the bill of all sessions together if it is given."""
+    out = [f"{row['sessions']} sessions, {row['statements']} statements, {row['modelled']} modelled", f"  rollups, each session for itself  {row['session_anchors']}",
+           f"  rollups, all sessions together    {row['anchors']}, answering {row['covered']}; {row['shared_anchors']} serve several sessions",
+           f"  redundancy across sessions        {pct(row['redundancy'])} {bar(row['redundancy'])}", f"  against answered statements       {pct(row['dedup_covered'])}", f"  against modelled statements       {pct(row['dedup_modelled'])}"]
+    if bill is not None:
+        out += [f"  billed {bill['billed_s']:.0f} s, {usd(bill['dollars'])}; productive {bill['productive_s']:.1f} s; idle {pct(bill['idle_share'])}", f"  per session {usd(bill['dollars'] / row['sessions'])}"]
+    return out
+
+
+def same_task_lines(ratios: DataFrame, verdict: str) -> list[str]:
+    """:func:`same_task` as text."""
+    return [f"  {r['kind']:<14} {r['size']} {r['distinct']:>6} of {r['total']:>6} {pct(r['ratio'])} {bar(r['ratio'])}" for r in ratios.orderBy("size", "kind").collect()] + [f"verdict: {verdict}"]
+
+
 def same_task(spark: SparkSession, shapes: list[tuple[int, Shape]]) -> tuple[DataFrame, str]:
     """Sub-expression ratios of repeated attempts at one task, and the verdict."""
     r = rollup.subexpression_ratios(rollup.subexpressions(rollup.frame(spark, shapes)))

@@ -111,6 +111,11 @@ def spans(stmts: DataFrame, strict: bool = False) -> DataFrame:
         {"exact": fingerprint.exact_hash(F.col("sql_text")), "ast": fingerprint.normalized_hash(F.col("sql_text"))})
 
 
+def in_order(spans: DataFrame) -> DataFrame:
+    """Spans by their start, ties in the order of the log."""
+    return spans.orderBy("start_ms", "log_id", "line_no")
+
+
 EVENTS = ("trace_id string, span_id string, parent_span_id string, label string, speculation_class string, span_intent string, attempt_n int, retry_of string, "
           "result_hash string, rows int, client_ms double, values array<string>, question string, error string, snowflake_query_id string, used_downstream boolean, "
           "grounded boolean, uniquely_grounded boolean, evidence array<string>")

@@ -107,6 +107,7 @@ def test_cover(spark):
     assert R.cover(R.frame(spark, [(0, sh(["avg(x)"], ["d"], ["d >= 1"]))])) == []
     ratios = {r["kind"]: (r["total"], r["distinct"]) for r in R.subexpression_ratios(R.subexpressions(R.frame(spark, probes[:2]))).collect()}
     assert ratios == {"scan": (2, 1), "filter": (2, 2), "filtered_scan": (2, 2), "measure": (2, 1), "full_agg": (2, 2), "all": (10, 6)}
+    assert reports.same_task_lines(*reports.same_task(spark, probes[:2]))[-1] == "verdict: does not reproduce"
     assert fleet.verdict(0.2) == "reproduces" and fleet.verdict(0.5) == "does not reproduce"
 
 

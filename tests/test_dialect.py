@@ -81,5 +81,21 @@ def test_published_totals(spark, log, recovered, timed, productive, billed, wind
     assert (round(b["productive_s"], 1), round(b["billed_s"], 1), b["windows"]) == (productive, billed, windows)
     rows = x.orderBy("line_no").collect()
     kept, _ = reports.shapes_of(spark, [(i, r["sql_text"]) for i, r in enumerate(rows)])
+    if log == "cross-session":
+        x_ = reports.cross_session(spark, x.select(F.col("trace_id").alias("session"), F.col("line_no").alias("at"), F.col("sql_text").alias("sql"))).first()
+        assert (x_["sessions"], x_["session_anchors"], x_["anchors"], x_["covered"], round(x_["redundancy"], 2)) == (8, 23, 20, 25, 0.13)
+        assert any("13.0%" in t for t in reports.cross_session_lines(x_, b)) and Q.in_order(x).first()["line_no"] == x.agg(F.min("line_no")).first()[0]
     c = reports.cover_summary(spark, kept, len(rows)).first()
     assert (c["modelled"], c["excluded"], c["anchors"], c["covered"]) == shapes
+
+
+def test_only_observing_and_local_folders(spark):
+    from types import SimpleNamespace
+
+    from spanloom.session import shared_folder
+
+    with pytest.raises(NotImplementedError):
+        client.TracedSession(spark, "agent", mode="intercept")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
