@@ -1,7 +1,8 @@
 """What keeping a warehouse awake costs: resume windows, idle time, and each span's part of the bill.
 
-Every function works per ``by`` (a warehouse, an agent, a trace); windows are ordered running frames, so a task streams
-through its key. Times are milliseconds in, seconds out.
+Every function works per ``by`` (a warehouse, an agent, a trace). Spans are cut into pieces by range of (key, start), and a piece
+hands the latest end and the number of windows on to the next, so one warehouse with most of the spans is spread over all
+tasks. Times are milliseconds in, seconds out.
 
 Defined results: rows without start are ignored, a missing duration is 0; an empty table gives no rows.
 """
@@ -11,9 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.pieces import pieces, running
+from spanloom.session import cut
+
 
 @dataclass(frozen=True)
 class Billing:
@@ -28,20 +32,32 @@ class Billing:
         return seconds / 3600 * self.credits_per_hour * self.dollars_per_credit
 
 
+def _beside(x: DataFrame, per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``x`` with the columns of a row a key; a null key meets itself."""
+    per = per.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    return x.join(per, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]).drop(*[f"_k{i}" for i in range(len(by))])
+
+
 def intervals(spans: DataFrame, by: Sequence[str], order: str, dilation: float = 1.0) -> DataFrame:
     """Adds ``start_s`` (since the key's first span, stretched by ``dilation``) and ``end_s``."""
-    first = F.min("start_ms").over(Window.partitionBy(*by))
-    return spans.where(F.col("start_ms").isNotNull()).withColumn("start_s", (F.col("start_ms") - first) / 1000.0 * dilation).withColumn(
-        "end_s", F.col("start_s") + F.coalesce(F.col("exec_ms"), F.lit(0.0)) / 1000.0)
+    known = spans.where(F.col("start_ms").isNotNull())
+    x = _beside(known, known.groupBy(*by).agg(F.min("start_ms").alias("_first")), by)
+    return x.withColumn("start_s", (F.col("start_ms") - F.col("_first")) / 1000.0 * dilation).withColumn("end_s", F.col("start_s") + F.coalesce(F.col("exec_ms"), F.lit(0.0)) / 1000.0).drop("_first")
 
 
 def windows_of(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billing(), dilation: float = 1.0) -> DataFrame:
     """Every span with ``window_no``: a new window begins when the warehouse was idle for longer than the suspend time."""
-    w = Window.partitionBy(*by).orderBy("start_s", order)
-    last_end = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(last_end.isNull() | (F.col("start_s") > last_end + model.suspend_s), 1).otherwise(0)
-    x = intervals(spans, by, order, dilation).withColumn("_opens", opens)
-    return x.withColumn("window_no", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    return _windows_of(spans, by, order, model, dilation).drop("_last_end", "_piece")
+
+
+def _windows_of(spans: DataFrame, by: Sequence[str], order: str, model: Billing, dilation: float) -> DataFrame:
+    """:func:`windows_of` with ``_last_end``, the latest end of the spans before; written once."""
+    at = ["start_s", order]
+    x = pieces(intervals(spans, by, order, dilation), by, at, "spans")
+    x = running(x, by, at, "_last_end", F.col("end_s"), F.max, F.greatest, -1)
+    opens = F.when(F.col("_last_end").isNull() | (F.col("start_s") > F.col("_last_end") + model.suspend_s), 1).otherwise(0)
+    x = cut(x.withColumn("_opens", opens), name="opens")
+    return running(x, by, at, "window_no", F.col("_opens"), F.sum, lambda a, b: a + b).drop("_opens")
 
 
 def windows(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billing(), dilation: float = 1.0) -> DataFrame:
@@ -57,9 +73,11 @@ def bill(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billi
     elapsed is the end of the span that started last; busy is the union of all intervals, which productive (their sum)
     exceeds when spans overlap.
     """
-    x = windows_of(spans, by, order, model, dilation)
-    w = Window.partitionBy(*by).orderBy("start_s", order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_busy", F.greatest(F.col("end_s") - F.greatest(F.col("start_s"), F.coalesce(F.max("end_s").over(w), F.col("start_s"))), F.lit(0.0)))
+    return _bill(_windows_of(spans, by, order, model, dilation), by, order, model)
+
+
+def _bill(x: DataFrame, by: Sequence[str], order: str, model: Billing) -> DataFrame:
+    x = x.withColumn("_busy", F.greatest(F.col("end_s") - F.greatest(F.col("start_s"), F.coalesce("_last_end", "start_s")), F.lit(0.0)))
     per = x.groupBy(*by, "window_no").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b"), F.sum(F.col("end_s") - F.col("start_s")).alias("p"), F.count(F.lit(1)).alias("n"),
                                           F.sum("_busy").alias("busy"), F.max(F.struct("start_s", order, "end_s")).alias("last"))
     g = per.groupBy(*by).agg(
@@ -71,15 +89,11 @@ def bill(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billi
 
 def attribute(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billing(), dilation: float = 1.0) -> DataFrame:
     """Every span with its part of the bill: its own seconds and, in proportion, the idle ones (equal parts without any)."""
-    x = windows_of(spans, by, order, model, dilation)
-    key, window = Window.partitionBy(*by), Window.partitionBy(*by, "window_no")
+    x = cut(_windows_of(spans, by, order, model, dilation), name="windows")  # read by the bill and by its parts
+    bills = _bill(x, by, order, model).select(*by, F.col("billed_s").alias("_bill"), F.col("productive_s").alias("_prod"), F.col("spans").alias("_n"))
     own = F.col("end_s") - F.col("start_s")
-    # the windows of a key lie in one task already: totals come from frames over the same partitioning
-    x = x.withColumns({"_a": F.min("start_s").over(window), "_b": F.max("end_s").over(window), "_nth": F.row_number().over(window.orderBy("start_s", order))})
-    billed = F.when(F.col("_nth") == 1, F.greatest(F.lit(model.minimum_s), F.col("_b") - F.col("_a") + model.suspend_s))
-    x = x.withColumns({"_bill": F.sum(billed).over(key), "_prod": F.sum(own).over(key), "_n": F.count(F.lit(1)).over(key)})
     part = own + F.when(F.col("_prod") > 0, own / F.col("_prod") * (F.col("_bill") - F.col("_prod"))).otherwise((F.col("_bill") - F.col("_prod")) / F.col("_n"))
-    return x.withColumn("billed_s", part).withColumn("cost", model.dollars(F.col("billed_s"))).drop("_a", "_b", "_nth", "_bill", "_prod", "_n")
+    return _beside(x, bills, by).withColumn("billed_s", part).withColumn("cost", model.dollars(F.col("billed_s"))).drop("_bill", "_prod", "_n", "_last_end", "_piece")
 
 
 def extrapolate(cost_per_task: Column, model: Billing = Billing(), days: int = 30) -> Column:

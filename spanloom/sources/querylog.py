@@ -15,11 +15,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import context, fingerprint
-from spanloom.session import cut, ship
+from spanloom.operators.pieces import following, last_known, pieces
+from spanloom.session import ship
 
 #: Fixed value: the layout of a line.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+) \[(\d+)\] (LOG|ERROR|STATEMENT|HINT|WARNING|DETAIL|FATAL):  (.*)$"
@@ -61,41 +62,22 @@ def records(lines: DataFrame) -> DataFrame:
                       F.when(hit, F.regexp_extract("line", LINE, 3)).alias("pid"), F.when(hit, F.regexp_extract("line", LINE, 4)).alias("level"), rest.alias("rest"))
 
 
-def _before(r: DataFrame, value: Column, by: list[str], upto: int) -> Column:
-    """The last value that is not null, of the rows of a piece up to ``upto`` (0: this one, -1: the one before)."""
-    return F.last(value, True).over(Window.partitionBy(*by, "_piece").orderBy("line_no").rowsBetween(Window.unboundedPreceding, upto))
-
-
-def _carried(r: DataFrame, value: Column, by: list[str], upto: int, name: str) -> DataFrame:
-    """``r`` with the last value before a row, over the pieces."""
-    ends = r.groupBy(*by, "_piece").agg(F.max_by(value, F.when(value.isNotNull(), F.col("line_no"))).alias("_v"))  # a row a piece
-    before = ends.withColumn("_v", F.last("_v", True).over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))
-    return r.withColumn(name, _before(r, value, by, upto)).join(before, [*by, "_piece"], "left").withColumn(name, F.coalesce(name, "_v")).drop("_v")
-
-
-def _next(r: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
-    """``r`` with the value of the next row, over the pieces; value: a struct."""
-    heads = r.groupBy(*by, "_piece").agg(F.min_by(value, "line_no").alias("_v"))  # a row a piece
-    after = heads.withColumn("_v", F.lead("_v").over(Window.partitionBy(*by).orderBy("_piece")))
-    return r.withColumn(name, F.lead(value).over(Window.partitionBy(*by, "_piece").orderBy("line_no"))).join(after, [*by, "_piece"], "left").withColumn(name, F.coalesce(name, "_v")).drop("_v")
-
-
 def statements(lines: DataFrame, pairing: str = "slot") -> DataFrame:
     """``log_id, line_no, ts, pid, sql, duration_ms`` of every statement."""
     if pairing not in ("slot", "per_pid"):
         raise ValueError("pairing must be slot or per_pid")
-    r = cut(records(lines).repartitionByRange("log_id", "line_no").withColumn("_piece", F.spark_partition_id()), name="log")  # read several times
+    r = pieces(records(lines), ["log_id"], ["line_no"], "log")  # read several times
     head = r.where("kind <> 'more'")
     if pairing == "slot":
-        head = _carried(head, F.when(F.col("kind").isin("statement", "other"), F.struct("kind", "pid")), ["log_id"], -1, "_p")
-        head, by = head.where("kind <> 'duration' or (_p is not null and _p.kind = 'statement' and _p.pid = pid)").drop("_p"), ["log_id"]
+        head = last_known(head, ["log_id"], "line_no", "_before", F.when(F.col("kind").isin("statement", "other"), F.struct("kind", "pid")), -1)
+        head, by = head.where("kind <> 'duration' or (_before is not null and _before.kind = 'statement' and _before.pid = pid)").drop("_before"), ["log_id"]
     else:
         by = ["log_id", "pid"]
-    timed = _next(head, F.struct("kind", "rest"), by, "_n").where("kind = 'statement'")
+    timed = following(head, by, "line_no", "_n", F.struct("kind", "rest")).where("kind = 'statement'")
     ms = F.when(F.col("_n.kind") == "duration", F.regexp_extract("_n.rest", r"^duration: ([0-9.]+) ms", 1).try_cast("double"))
     timed = timed.withColumn("duration_ms", ms)
     # continuation lines belong to the last record, if that is a statement (a matched or foreign duration line ends it, too)
-    owned = _carried(r, F.when(F.col("kind") != "more", F.struct("kind", "line_no")), ["log_id"], 0, "_o")
+    owned = last_known(r, ["log_id"], "line_no", "_o", F.when(F.col("kind") != "more", F.struct("kind", "line_no")))
     more = owned.where("kind = 'more' and _o.kind = 'statement'").groupBy("log_id", F.col("_o.line_no").alias("line_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"]), "\n").alias("_more"))
     first = F.substring(F.col("rest"), 12, 1 << 30)

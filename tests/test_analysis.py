@@ -226,3 +226,29 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.table("resumed").count() == 2
     assert W.redundancy_by_hour(df.withColumn("ts", F.to_timestamp("ts"))).first()["distinct_queries"] == 2
+
+
+def test_bills_do_not_depend_on_the_pieces(spark):
+    """One key with most spans, a null key, ties: the same windows and bills however the spans are cut."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), f"{i}", rng.randrange(0, 4_000_000, 500), rng.choice([None, 0.0, 1500.0, 90_000.0])) for i in range(400)]
+    df = spans(spark, rows)
+    seen = []
+    for parts in ("1", "3", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            w = sorted((str(r["k"]), r["id"], r["window_no"]) for r in B.windows_of(df, ["k"], "id").collect())
+            b = sorted((str(r["k"]), r["windows"], r["spans"], *(round(r[c], 6) for c in ("billed_s", "busy_s", "elapsed_s"))) for r in B.bill(df, ["k"], "id").collect())
+            a = sorted((str(r["k"]), r["id"], round(r["billed_s"], 6)) for r in B.attribute(df, ["k"], "id").collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        seen.append((w, b, a))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 400 and len(seen[0][1]) == 3
+    for k in ("a", "b", None):  # the plain sweep
+        end, no = None, 0
+        for s, i, e in sorted((r[2], r[1], r[2] + (r[3] or 0.0)) for r in rows if r[0] == k):
+            no += end is None or s > end + 60_000
+            end = e if end is None else max(end, e)
+            assert (str(k), i, no) in set(seen[0][0])
