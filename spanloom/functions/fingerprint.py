@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,23 +65,25 @@ def conjuncts(text: str) -> list[str]:
 
 def _without_aliases(tokens: list[Token]) -> list[Token]:
     """Table aliases left out, and their table's name put where they stand before a dot."""
-    kept: list[Token] = []
     table_of: dict[str, str] = {}
-    i = 0
-    while i < len(tokens):
-        kept.append(tokens[i])
-        i += 1
-        if tokens[i - 1][1] not in ("from", "join") or i >= len(tokens) or not tokens[i][0] or not _NAME.fullmatch(tokens[i][1]):
+    kept, upto = [], 0
+    for i in [i for i, t in enumerate(tokens[:-2], 1) if t[1] == "from" or t[1] == "join"]:
+        gap, name = tokens[i]
+        j = i + 1 + (tokens[i + 1] == (" ", "as"))
+        if i < upto or not gap or not _NAME.fullmatch(name) or j >= len(tokens):
             continue
-        j = i + 1 + (tokens[i + 1 : i + 2] == [(" ", "as")])
-        gap, alias = tokens[j] if j < len(tokens) else ("", "")
-        called = tokens[j + 1][1] == "(" if j + 1 < len(tokens) else False
-        if gap and _NAME.fullmatch(alias) and alias not in RESERVED and not called:
-            table_of[alias] = tokens[i][1]
-            kept.append(tokens[i])
-            i = j + 1
-    dotted = [bool(x == ("", ".")) for x in kept[1:]] + [False]
-    return [(gap, table_of.get(word, word) if dot else word) for (gap, word), dot in zip(kept, dotted)]
+        gap, alias = tokens[j]
+        if gap and _NAME.fullmatch(alias) and alias not in RESERVED and not (j + 1 < len(tokens) and tokens[j + 1][1] == "("):
+            table_of[alias] = name
+            kept += tokens[upto : i + 1]
+            upto = j + 1
+    if not table_of:
+        return tokens
+    kept += tokens[upto:]
+    for i, t in enumerate(kept[1:]):
+        if t == ("", ".") and kept[i][1] in table_of:
+            kept[i] = (kept[i][0], table_of[kept[i][1]])
+    return kept
 
 
 def _by_comma(body: list[Token]) -> str:
@@ -92,30 +95,30 @@ def _by_comma(body: list[Token]) -> str:
 _BODY = {"select": _by_comma, "where": lambda body: " and ".join(sorted(map(_text, _parts(body)))), "group by": _by_comma}
 
 
+_OPENING = frozenset(("from", "where", "group", "order", "limit", "having"))
+
+
 def _clauses(tokens: list[Token]) -> list[tuple[str, str, list[Token]]]:
     """(blank before, opening words, body) of the outermost clauses; "" opens what is left as it stands."""
-    out: list[tuple[str, str, list[Token]]] = [("", "", [])]
-    skip = False
-    for i, (gap, word) in enumerate(tokens):
-        if skip:
-            skip = False
-            continue
-        now, seen = out[-1][1], [o for _, o, _ in out]
-        two = f"{word} {tokens[i + 1][1]}" if i + 1 < len(tokens) and tokens[i + 1][0] else ""
-        if i == 0 and word == "select":
-            out.append((gap, "select", []))
-        elif now == "select":
-            out.append((gap, "from", [])) if word == "from" and gap else out[-1][2].append((gap, word))
-        elif word == "where" and "where" not in seen and "group by" not in seen:
-            out.append((gap, "where", []))
+    at: list[tuple[int, str, int]] = [(0, "", 0)]  # where a clause begins, what opens it, where its body begins
+    if tokens and tokens[0][1] == "select":
+        at.append((0, "select", 1))
+    seen: set[str] = set()
+    for i in [i for i, t in enumerate(tokens) if t[1] in _OPENING]:
+        gap, word = tokens[i]
+        now, two = at[-1][1], f"{word} {tokens[i + 1][1]}" if i + 1 < len(tokens) and tokens[i + 1][0] else ""
+        if now == "select":
+            if word == "from" and gap:
+                at.append((i, "from", i + 1))
+        elif word == "where" and not seen:
+            at.append((i, "where", i + 1))
         elif two == "group by" and two not in seen:
-            out.append((gap, two, []))
-            skip = True
+            at.append((i, two, i + 2))
         elif now in ("where", "group by") and (word in ("limit", "having") or two == "order by"):
-            out.append((gap, "", [(gap, word)]))
-        else:
-            out[-1][2].append((gap, word))
-    return out
+            at.append((i, "", i))
+        seen |= {at[-1][1]} & {"where", "group by"}
+    ends = [begin for begin, _, _ in at[1:]] + [len(tokens)]
+    return [(tokens[i][0] if i < len(tokens) else "", opened, tokens[body:end]) for (i, opened, body), end in zip(at, ends)]
 
 
 def normalize(sql: str) -> str:
@@ -139,7 +142,9 @@ def normalize(sql: str) -> str:
 
 
 def _normalize_series(s: pd.Series) -> pd.Series:
-    return s.map(normalize, na_action="ignore")
+    code, texts = pd.factorize(s)  # a statement that comes again in a batch is read once
+    forms = np.array([normalize(t) for t in texts] + [None], dtype=object)
+    return pd.Series(forms[code], index=s.index)
 
 
 def normalized(c: Column) -> Column:
