@@ -40,7 +40,7 @@ def _beside(x: DataFrame, per: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def intervals(spans: DataFrame, by: Sequence[str], order: str, dilation: float = 1.0) -> DataFrame:
     """Adds ``start_s`` (since the key's first span, stretched by ``dilation``) and ``end_s``."""
-    known = spans.where(F.col("start_ms").isNotNull())
+    known = cut(spans.where(F.col("start_ms").isNotNull()), name="known")  # read for the first start, the ranges and the pieces
     x = _beside(known, known.groupBy(*by).agg(F.min("start_ms").alias("_first")), by)
     return x.withColumn("start_s", (F.col("start_ms") - F.col("_first")) / 1000.0 * dilation).withColumn("end_s", F.col("start_s") + F.coalesce(F.col("exec_ms"), F.lit(0.0)) / 1000.0).drop("_first")
 
@@ -62,7 +62,7 @@ def _windows_of(spans: DataFrame, by: Sequence[str], order: str, model: Billing,
 
 def windows(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billing(), dilation: float = 1.0) -> DataFrame:
     """One row a resume window, with what it bills."""
-    g = windows_of(spans, by, order, model, dilation).groupBy(*by, "window_no").agg(
+    g = windows_of(_narrow(spans, by, order), by, order, model, dilation).groupBy(*by, "window_no").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("spans"), F.sum(F.col("end_s") - F.col("start_s")).alias("productive_s"))
     return g.withColumn("billed_s", F.greatest(F.lit(model.minimum_s), F.col("end_s") - F.col("start_s") + model.suspend_s))
 
@@ -73,7 +73,12 @@ def bill(spans: DataFrame, by: Sequence[str], order: str, model: Billing = Billi
     elapsed is the end of the span that started last; busy is the union of all intervals, which productive (their sum)
     exceeds when spans overlap.
     """
-    return _bill(_windows_of(spans, by, order, model, dilation), by, order, model)
+    return _bill(_windows_of(_narrow(spans, by, order), by, order, model, dilation), by, order, model)
+
+
+def _narrow(spans: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """What a bill needs of the spans."""
+    return spans.select(*dict.fromkeys([*by, order, "start_ms", "exec_ms"]))
 
 
 def _bill(x: DataFrame, by: Sequence[str], order: str, model: Billing) -> DataFrame:
