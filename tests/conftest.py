@@ -15,3 +15,11 @@ def spark():
     ship(s)
     yield s
     s.stop()
+
+
+@pytest.fixture
+def few(spark):
+    """One reduce task, for tests of many small queries."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

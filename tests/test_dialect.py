@@ -46,7 +46,7 @@ def test_whole_results_are_counted_and_hashed(nums):
 
 
 @pytest.mark.skipif(not os.path.isdir(RUNS), reason="the saved logs are not there")
-def test_saved_statements_run_or_are_refused_with_a_reason(spark):
+def test_saved_statements_run_or_are_refused_with_a_reason(spark, few):
     o = Q.warehouse_orders(spark, per_cell=2)
     o.createOrReplaceTempView("orders")
     Q.warehouse_refunds(o, 0.2).createOrReplaceTempView("refunds")
@@ -70,7 +70,7 @@ def test_saved_statements_run_or_are_refused_with_a_reason(spark):
 @pytest.mark.parametrize("log,recovered,timed,productive,billed,windows,shapes", [
     ("coordinator", 25, 24, 9.4, 212.3, 1, (13, 11, 10, 11)), ("wide", 17, 17, 4.5, 152.6, 1, (9, 8, 4, 7)), ("cross-session", 41, 36, 851.3, 1116.1, 2, (29, 12, 20, 25)),
 ])
-def test_published_totals(spark, log, recovered, timed, productive, billed, windows, shapes):
+def test_published_totals(spark, few, log, recovered, timed, productive, billed, windows, shapes):
     from pyspark.sql import functions as F
 
     from spanloom import reports

@@ -132,7 +132,7 @@ def messy(rng, n, traces):
     return rows
 
 
-def test_one_answer_whatever_the_limit(spark):
+def test_one_answer_whatever_the_limit(spark, few):
     rng = random.Random(21)
     df = spark.createDataFrame([(t, s, p, i, i, rng.randrange(5) or None) for i, (t, s, p) in enumerate(messy(rng, 17, 4))], "trace_id string, span_id string, parent_span_id string, row_id long, ingested_at long, start_ms long")
     seen = []
