@@ -367,8 +367,7 @@ def distinct_counts(
         target = max(1, min(1_000_000, math.ceil(sum(n for _, n in days) / (4 * tasks(spark)))))
     placed, n_tasks = spread(days, target)
     kind = df.schema[day].dataType.simpleString()
-    keys = ", ".join(f"{c} string" for c in cols)
-    final = f"day {kind}, grouping string, {keys}, item string, estimate double, low double, high double, exact boolean"
+    final = ", ".join([f"day {kind}", "grouping string", *[f"{c} string" for c in cols], "item string", "estimate double", "low double", "high double", "exact boolean"])
     if not placed:
         return spark.createDataFrame([], final)
     at = spark.createDataFrame(placed, f"_d {kind}, _a int, _k int")  # a row a day
@@ -379,7 +378,7 @@ def distinct_counts(
     to = F.when(how == WHOLE, 0).when(how == SPREAD, F.pmod(F.xxhash64(F.lit("spread"), spread_by or F.lit(0)), F.col("_k"))).otherwise(F.pmod(F.xxhash64(F.lit("split"), *[f"h{n}" for n in range(len(items))]), F.col("_k")))
     sent = x.select("day", *cols, *[f"h{n}" for n in range(len(items))], how.cast("int").alias("_how"), (F.col("_a") + to).cast("int").alias("_to")).repartitionById(n_tasks, "_to").drop("_to")
     cells = sent.mapInPandas(_cells(cols, list(items), sets, spread_by), f"{final}, done boolean, g long, hashes binary, regs binary")
-    result = [c.split(" ")[0] for c in final.split(", ")]
+    result = ["day", "grouping", *cols, "item", "estimate", "low", "high", "exact"]
     if all(k == 1 for _, _, k in placed):
         return cells.select(*result)
     cells = cut(cells, name="sketches")

@@ -138,3 +138,10 @@ def test_parts_of_tasks_hold_whole_hashes(spark):
                 for r in df.where(f"{name} is not null").groupBy("day", *by).agg(F.count_distinct(name).alias("n")).collect():
                     key = (r["day"], ",".join(by), None if "inst" not in by or r["inst"] is None else str(r["inst"]), r["kind"] if "kind" in by else None, name)
                     assert got[key] == r["n"], (target, key)
+
+
+def test_days_alone(spark):
+    df = frame(spark)
+    for target in (10**6, 500):
+        got = {r["day"]: r for r in X.distinct_counts(df, "day", ["inst"], [], target=target).collect()}
+        assert {d: r["estimate"] for d, r in got.items()} == {r["day"]: r["n"] for r in df.groupBy("day").agg(F.count_distinct("inst").alias("n")).collect()}
