@@ -103,7 +103,7 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     """
     n = n_tasks or 4 * tasks(left.sparkSession)
     placement, _ = plan(left.select(key), key, n)
-    at = F.broadcast(placement)  # at most n / HEAVY rows, see plan()
+    at = F.broadcast(placement.toDF("__fr_key", "__fr_shards", "__fr_places"))  # at most n / HEAVY rows, see plan()
 
     def home(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -111,12 +111,12 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     # a row without a spread value is spread by all it holds; a null key meets nothing, so its rows may lie anywhere
     plain = [f.name for f in left.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
     by = F.xxhash64(F.lit("shard"), F.col(spread), F.when(F.col(spread).isNull(), F.xxhash64(*plain)))
-    l = left.join(at, F.col(key) == F.col("_key"), "left").withColumn(
-        "__fr_shard", F.coalesce(F.pmod(by, F.col("_shards")), F.lit(0)).cast("int")).withColumn(
-        "__fr_task", F.when(F.col(key).isNull(), home(by)).otherwise(F.coalesce(F.element_at("_places", F.col("__fr_shard") + 1), home(F.col(key))))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_task")
+    l = left.join(at, F.col(key) == F.col("__fr_key"), "left").withColumn(
+        "__fr_shard", F.coalesce(F.pmod(by, F.col("__fr_shards")), F.lit(0)).cast("int")).withColumn(
+        "__fr_task", F.when(F.col(key).isNull(), home(by)).otherwise(F.coalesce(F.element_at("__fr_places", F.col("__fr_shard") + 1), home(F.col(key))))).drop("__fr_key", "__fr_shards", "__fr_places").repartitionById(n, "__fr_task")
     r = right.select(F.col(key).alias("__fr_rkey"), *[F.col(c).alias(c + "_right" if c in left.columns else c) for c in right.columns if c != key])
-    r = r.where("__fr_rkey is not null").join(at, F.col("__fr_rkey") == F.col("_key"), "left").withColumn(
-        "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))).withColumn(
-        "__fr_rtask", F.coalesce(F.element_at("_places", F.col("__fr_rshard") + 1), home(F.col("__fr_rkey").try_cast(left.schema[key].dataType)))).drop("_key", "_shards", "_places").repartitionById(n, "__fr_rtask")
+    r = r.where("__fr_rkey is not null").join(at, F.col("__fr_rkey") == F.col("__fr_key"), "left").withColumn(
+        "__fr_rshard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__fr_shards"), F.lit(1)) - 1))).withColumn(
+        "__fr_rtask", F.coalesce(F.element_at("__fr_places", F.col("__fr_rshard") + 1), home(F.col("__fr_rkey").try_cast(left.schema[key].dataType)))).drop("__fr_key", "__fr_shards", "__fr_places").repartitionById(n, "__fr_rtask")
     same = (F.col("__fr_task") == F.col("__fr_rtask")) & (F.col(key) == F.col("__fr_rkey")) & (F.col("__fr_shard") == F.col("__fr_rshard"))
     return l.join(r, same, how).drop("__fr_rkey", "__fr_rshard", "__fr_rtask", "__fr_shard", "__fr_task")

@@ -93,3 +93,12 @@ def test_no_task_gets_much_more_than_its_share(spark):
         placement, _ = skew.plan(pairs, "k", n)
         most = skew.assign(pairs, "k", "i", placement, n).groupBy("_task").count().agg(F.max("count")).first()[0]
         assert most <= 1.5 * total / n, (n, most * n / total)
+
+
+def test_join_with_clashing_columns_and_no_spread_values(spark):
+    rows = [(7 if i % 3 else i % 20, None if i % 2 else i, i, "x", 1) for i in range(900)]
+    left = spark.createDataFrame(rows, "k long, s long, _key int, _places string, _shards int")
+    right = spark.createDataFrame([(k, k, "r") for k in range(20)], "k long, _key long, _places string")
+    got = skew.fragment_replicate_join(left, right, "k", "s", 8)
+    assert got.count() == 900 and set(got.columns) == {"k", "s", "_key", "_places", "_shards", "_key_right", "_places_right"}
+    assert skew.fragment_replicate_join(left.limit(0), right, "k", "s", 8).count() == 0
