@@ -112,7 +112,7 @@ def _sketch_partition(levels: tuple[int, ...], rows: int, width: int):
                 fold()
         fold()
         if n:
-            pieces = [x.tobytes() for x in total.reshape(-1, PIECE)]
+            pieces = [_packed(x) for x in total.reshape(-1, PIECE)]
             yield pd.DataFrame({"piece": range(len(pieces)), "n": [n] + [0] * (len(pieces) - 1), "counters": pieces})
     return go
 
@@ -120,21 +120,31 @@ def _sketch_partition(levels: tuple[int, ...], rows: int, width: int):
 _PIECES = "piece int, n long, counters binary"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A piece's counters in the fewest bytes that hold them all."""
+    most = int(np.abs(x).max(initial=0))
+    return x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, {2: np.int16, 4: np.int32, 8: np.int64}[len(b) // PIECE])
+
+
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of the pieces of a partition sorted by piece, one sum held at a time."""
     now, n, total, out = None, 0, np.zeros(PIECE, np.int64), []
     for pdf in batches:
         for piece, k, b in zip(pdf["piece"], pdf["n"], pdf["counters"]):
             if piece != now and now is not None:
-                out.append((now, n, total.tobytes()))
+                out.append((now, n, _packed(total)))
                 n, total = 0, np.zeros(PIECE, np.int64)
             now, n = piece, n + int(k)
-            total += np.frombuffer(b, np.int64)
+            total += _unpacked(b)
         if len(out) >= 256:
             yield pd.DataFrame(out, columns=["piece", "n", "counters"])
             out = []
     if now is not None:
-        yield pd.DataFrame([*out, (now, n, total.tobytes())], columns=["piece", "n", "counters"])
+        yield pd.DataFrame([*out, (now, n, _packed(total))], columns=["piece", "n", "counters"])
 
 
 def build(df: DataFrame, item: str, levels: tuple[int, ...] = LEVELS, rows: int = ROWS, width: int = 8192) -> tuple[int, np.ndarray]:
@@ -146,7 +156,7 @@ def build(df: DataFrame, item: str, levels: tuple[int, ...] = LEVELS, rows: int
     n, total = 0, np.zeros((len(levels) * rows * width // PIECE, PIECE), np.int64)
     for r in whole.toLocalIterator():  # one sketch of fixed size
         n += r["n"]
-        total[r["piece"]] = np.frombuffer(r["counters"], np.int64)
+        total[r["piece"]] = _unpacked(r["counters"])
     return n, total.reshape(len(levels), rows, width)
 
 

@@ -145,3 +145,12 @@ def test_days_alone(spark):
     for target in (10**6, 500):
         got = {r["day"]: r for r in X.distinct_counts(df, "day", ["inst"], [], target=target).collect()}
         assert {d: r["estimate"] for d, r in got.items()} == {r["day"]: r["n"] for r in df.groupBy("day").agg(F.count_distinct("inst").alias("n")).collect()}
+
+
+def test_packed_counters_come_back():
+    rng = np.random.default_rng(1)
+    for top in (0, 9, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**50):
+        x = np.zeros(HH.PIECE, np.int64)
+        x[:2] = top, -top
+        x[2:] = rng.integers(-top, top + 1, HH.PIECE - 2)
+        assert np.array_equal(HH._unpacked(HH._packed(x)), x)
